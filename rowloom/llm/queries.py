@@ -49,8 +49,63 @@ def op10_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_piece_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .pieces import encode_documents
+
+    out = encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return out.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.coalesce(F.get("ends", F.size("ends") - 1), F.lit(0)).cast("long").alias("end_byte")
+    )
+
+
+def op2_preference_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ranking import quality_scores
+
+    out = quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted", "worth")
+
+
+def op4_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import dedup_lines
+
+    out = dedup_lines(_table(spark, sf_dir, "documents"))
+    return out.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op6_char_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, find_personal_data
+
+    out = find_personal_data(_table(spark, sf_dir, "documents"))
+    text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    of_kind = lambda kind: F.filter("base", lambda s: s["kind"] == kind)
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    return out.select("doc_id", *counts, F.sha2(text("base"), 256).alias("base_sha256"), text("found").alias("spans"))
+
+
+def op7_bk_tree_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    out = near_duplicates(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op8_tree_scored_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pagetext import extract
+
+    return extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_virtual_slot_shards, op5_benchmark_windows, op9_risk_controlled_rules, op10_chat_parts)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_piece_offsets, op2_preference_ranking, op3_virtual_slot_shards, op4_line_runs, op5_benchmark_windows,
+            op6_char_tagger, op7_bk_tree_classes, op8_tree_scored_text, op9_risk_controlled_rules, op10_chat_parts,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import materialise
+from ..scratch import materialise, release
 from .common import BLANKS, UPPER, inline_rows
 from .windows import covered, with_window_hashes, words_of
 
@@ -137,9 +137,13 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rejected rows, all columns as they were, no text shuffled."""
+    """``docs`` without the rejected rows, all columns as they were.
+
+    Statistics are computed twice, once for the proofs and once beside the rows: texts are never shuffled.
+    """
     cols = docs.columns
-    measured = text_statistics(docs, [docs["doc_id"].alias("doc_id"), stratum_of(docs).alias("stratum")])
+    measured = materialise(text_statistics(docs, [docs["doc_id"].alias("doc_id"), stratum_of(docs).alias("stratum")]), "rules")
     levels = certified_levels(measured, labels)
+    release(measured)
     whole = text_statistics(docs, [F.struct(*[docs[c] for c in cols]).alias("row"), stratum_of(docs).alias("stratum")])
     return judged(whole, levels).where("kept").select("row.*")
