@@ -45,7 +45,11 @@ def _count_of(text: Column, chars: str) -> Column:
 
 
 def text_statistics(docs: DataFrame, keep: list[Column]) -> DataFrame:
-    """``keep`` plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the rules' measures."""
+    """``keep`` plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the rules' measures.
+
+    A filter that also names ``tag`` stays above this plan; pushed below, it would repeat each step's expressions
+    inside the next one's until they fill the memory.
+    """
     text = F.coalesce(docs["text"], F.lit(""))
     df = docs.select(*keep, text.alias("__t"), words_of(text, r"[\x20\x09-\x0D]+").alias("__w"))
     df = df.withColumn("__h", F.transform("__w", lambda w: F.xxhash64(w))).withColumn("n_words", F.size("__w").cast("long"))
@@ -70,7 +74,7 @@ def text_statistics(docs: DataFrame, keep: list[Column]) -> DataFrame:
         *[c for c in df.columns if not c.startswith("__")], "n_repeat_words",
         share(F.col("n_symbols"), F.col("n_words")).alias("symbols_per_word"), share(F.col("__bangs"), F.col("n_words")).alias("bangs_per_word"),
         share(F.col("__capitals"), F.col("word_chars")).alias("capital_share"), share(stutter, F.col("n_words")).alias("stutter_share"),
-        share(F.col("n_dup_lines"), F.col("__n_lines")).alias("dup_line_share"),
+        share(F.col("n_dup_lines"), F.col("__n_lines")).alias("dup_line_share"), F.monotonically_increasing_id().alias("tag"),
     ).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
@@ -146,4 +150,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     levels = certified_levels(measured, labels)
     release(measured)
     whole = text_statistics(docs, [F.struct(*[docs[c] for c in cols]).alias("row"), stratum_of(docs).alias("stratum")])
-    return judged(whole, levels).where("kept").select("row.*")
+    return judged(whole, levels).where("kept AND tag >= 0").select("row.*")
