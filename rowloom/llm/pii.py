@@ -7,7 +7,7 @@ that ``labelled_windows`` writes (a fixed number of windows, a fixed seed: the w
 Texts are tagged in overlapping windows. Every window with a digit or ``@`` is tagged; the others cannot hold any of the
 four kinds, all of which need one. Where windows overlap their scores are averaged, each weighted towards its middle,
 and one Viterbi pass over each stretch of touching windows decides all of its characters together, so that spans that
-cross window borders come out whole. An added span must be likely (``CONFIDENCE``), well-formed for its kind and clear
+cross window borders come out whole. An added span must be likely (``LOG_ODDS`` against no span there), well-formed for its kind and clear
 of base spans, which always stay.
 
 Defined results: null and empty texts have no spans; repeated rows are tagged each; an empty table gives no rows;
@@ -29,7 +29,7 @@ from . import tagger
 from .common import text_slices
 from .tagger import KINDS, STRIDE, WINDOW
 
-N_TRAINING, EPOCHS, SEED, CONFIDENCE = 4096, 6, 11, 0.9
+N_TRAINING, EPOCHS, SEED, LOG_ODDS = 4096, 6, 11, 3.0
 #: Windows that are tagged at once.
 TOGETHER = 2048
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -152,6 +152,20 @@ def _stretches(text: str) -> tuple[np.ndarray, list[tuple[int, int]]]:
 _WEIGHT = (1 + np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1])).astype(np.float32)
 
 
+def _log_odds(p: dict, scores: np.ndarray, tags: np.ndarray, s: int, e: int) -> float:
+    """How much the decoded path gains over the same path with characters s to e - 1 outside of any span."""
+    path, outside = tags[s:e], np.zeros(e - s, np.int8)
+    if s == 0:
+        odds = p["S"][path[0]] - p["S"][0]
+    else:
+        odds = p["A"][tags[s - 1], path[0]] - p["A"][tags[s - 1], 0]
+    if e < len(tags):
+        odds += p["A"][path[-1], tags[e]] - p["A"][0, tags[e]]
+    at = np.arange(s, e)
+    odds += (scores[at, path] - scores[at, outside]).sum() + (p["A"][path[:-1], path[1:]] - p["A"][0, 0]).sum()
+    return float(odds)
+
+
 def _decoded(p: dict, text: str, starts: np.ndarray, runs: list[tuple[int, int]], scores: np.ndarray) -> list[tuple[str, int, int]]:
     """Spans of one text from its windows' scores: overlaps averaged, each stretch decoded as a whole."""
     found = []
@@ -165,13 +179,11 @@ def _decoded(p: dict, text: str, starts: np.ndarray, runs: list[tuple[int, int]]
             weight[here] += _WEIGHT[:size, None]
         total /= weight
         tags = tagger.best_tags(p, total)
-        likely = np.exp(total - total.max(axis=1, keepdims=True))
-        likely /= likely.sum(axis=1, keepdims=True)
         for s in np.flatnonzero(tags % 2 == 1):
             e = s + 1
             while e < len(tags) and tags[e] == tags[s] + 1:
                 e += 1
-            if likely[np.arange(s, e), tags[s:e]].mean() >= CONFIDENCE:
+            if _log_odds(p, total, tags, s, e) >= LOG_ODDS:
                 found.append((KINDS[tags[s] // 2], int(begin + s), int(begin + e)))
     return found
 
