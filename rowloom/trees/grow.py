@@ -126,7 +126,8 @@ def bin_of(c: Column, lo: float, hi: float, n_bins: int = N_BINS) -> Column:
     """Equal-width bin; the largest value falls in the last bin, a constant feature in bin 0."""
     if lo is None or hi is None or hi <= lo:
         return F.when(c.isNotNull(), F.lit(0))
-    return F.greatest(F.lit(0), F.least(F.floor((c.cast("double") - F.lit(float(lo))) * n_bins / F.lit(float(hi - lo))).cast("int"), F.lit(n_bins - 1)))
+    bin_ = F.floor((c.cast("double") - F.lit(float(lo))) * n_bins / F.lit(float(hi - lo))).cast("int")
+    return F.when(c.isNotNull(), F.greatest(F.lit(0), F.least(bin_, F.lit(n_bins - 1))))
 
 
 def bin_threshold(b: int, lo: float, hi: float, n_bins: int = N_BINS) -> float:
