@@ -36,41 +36,51 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def _run(p: dict, chars: np.ndarray, d: str) -> tuple[np.ndarray, list]:
-    """Hidden states (time, batch, HIDDEN) of one direction over chars (time, batch), and what backward needs."""
-    drive = (p["E"] @ p[f"X{d}"] + p[f"B{d}"])[chars]
-    h = c = np.zeros((chars.shape[1], HIDDEN))
-    states, saved = np.empty((*chars.shape, HIDDEN)), []
-    order = range(len(chars)) if d == "f" else range(len(chars) - 1, -1, -1)
-    for t in order:
-        z = drive[t] + h @ p[f"H{d}"]
-        i, f, o = (_sigmoid(z[:, k * HIDDEN : (k + 1) * HIDDEN]) for k in range(3))
-        g = np.tanh(z[:, 3 * HIDDEN :])
+def _run(p: dict, chars: np.ndarray) -> tuple[np.ndarray, list]:
+    """Hidden states (time, batch, 2 * HIDDEN) of both directions over chars (time, batch), and what backward needs.
+
+    Both directions advance in one loop: the second reads the characters from the end.
+    """
+    drive = np.stack([(p["E"] @ p["Xf"] + p["Bf"])[chars], (p["E"] @ p["Xb"] + p["Bb"])[chars[::-1]]], axis=1)
+    inner = np.stack([p["Hf"], p["Hb"]])
+    h = c = np.zeros((2, chars.shape[1], HIDDEN), drive.dtype)
+    states, saved = np.empty((len(chars), *h.shape), drive.dtype), []
+    for t in range(len(chars)):
+        z = drive[t] + h @ inner
+        gates = _sigmoid(z[..., : 3 * HIDDEN])
+        i, f, o = gates[..., :HIDDEN], gates[..., HIDDEN : 2 * HIDDEN], gates[..., 2 * HIDDEN :]
+        g = np.tanh(z[..., 3 * HIDDEN :])
         c_before, h_before = c, h
         c = f * c + i * g
         tc = np.tanh(c)
         h = o * tc
         states[t] = h
-        saved.append((t, i, f, o, g, c_before, h_before, tc))
-    return states, saved
-
-
-def _run_back(p: dict, grads: dict, chars: np.ndarray, d: str, d_states: np.ndarray, saved: list) -> None:
-    dh = dc = np.zeros((chars.shape[1], HIDDEN))
-    d_drive = np.empty((*chars.shape, 4 * HIDDEN))
-    dH = np.zeros_like(p[f"H{d}"])
-    for t, i, f, o, g, c_before, h_before, tc in reversed(saved):
-        dh = dh + d_states[t]
+        saved.append((gates, g, c_before, h_before, tc))
+    return np.concatenate([states[:, 0], states[::-1, 1]], axis=2), saved
+
+
+def _run_back(p: dict, grads: dict, chars: np.ndarray, d_states: np.ndarray, saved: list) -> None:
+    inner = np.stack([p["Hf"], p["Hb"]])
+    d_both = np.stack([d_states[:, :, :HIDDEN], d_states[::-1, :, HIDDEN:]], axis=1)
+    dh = dc = np.zeros_like(saved[0][2])
+    d_drive = np.empty((len(chars), 2, chars.shape[1], 4 * HIDDEN), dh.dtype)
+    d_inner = np.zeros_like(inner)
+    for t in range(len(chars) - 1, -1, -1):
+        gates, g, c_before, h_before, tc = saved[t]
+        i, f, o = gates[..., :HIDDEN], gates[..., HIDDEN : 2 * HIDDEN], gates[..., 2 * HIDDEN :]
+        dh = dh + d_both[t]
         dc = dc + dh * o * (1 - tc * tc)
-        dz = np.concatenate([dc * g * i * (1 - i), dc * c_before * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)], axis=1)
-        d_drive[t] = dz
-        dH += h_before.T @ dz
-        dh, dc = dz @ p[f"H{d}"].T, dc * f
-    table = np.zeros((N_CLASSES, 4 * HIDDEN))
-    np.add.at(table, chars.ravel(), d_drive.reshape(-1, 4 * HIDDEN))
-    grads[f"H{d}"], grads[f"B{d}"] = dH, table.sum(axis=0)
-    grads[f"X{d}"] = p["E"].T @ table
-    grads["E"] += table @ p[f"X{d}"].T
+        dz = d_drive[t]
+        dz[..., : 3 * HIDDEN] = np.concatenate([dc * g, dc * c_before, dh * tc], axis=2) * gates * (1 - gates)
+        dz[..., 3 * HIDDEN :] = dc * i * (1 - g * g)
+        d_inner += h_before.transpose(0, 2, 1) @ dz
+        dh, dc = dz @ inner.transpose(0, 2, 1), dc * f
+    for k, (d, seen) in enumerate((("f", chars), ("b", chars[::-1]))):
+        one_hot = (seen.reshape(-1, 1) == np.arange(N_CLASSES)).astype(d_drive.dtype)
+        table = one_hot.T @ d_drive[:, k].reshape(-1, 4 * HIDDEN)
+        grads[f"H{d}"], grads[f"B{d}"] = d_inner[k], table.sum(axis=0)
+        grads[f"X{d}"] = p["E"].T @ table
+        grads["E"] += table @ p[f"X{d}"].T
 
 
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -81,9 +91,7 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
 def loss_and_gradients(p: dict, chars: np.ndarray, tags: np.ndarray) -> tuple[float, dict]:
     """Mean negative log-likelihood of tags (time, batch) given chars (time, batch)."""
     steps, batch = chars.shape
-    sf, keep_f = _run(p, chars, "f")
-    sb, keep_b = _run(p, chars, "b")
-    states = np.concatenate([sf, sb], axis=2)
+    states, saved = _run(p, chars)
     e = states @ p["O"] + p["c"]
     alpha, beta = np.empty_like(e), np.zeros_like(e)
     alpha[0] = p["S"] + e[0]
@@ -99,21 +107,19 @@ def loss_and_gradients(p: dict, chars: np.ndarray, tags: np.ndarray) -> tuple[fl
     pairs = np.zeros_like(p["A"])
     for t in range(1, steps):
         pairs += np.exp(alpha[t - 1][:, :, None] + p["A"] + (e[t] + beta[t] - log_z[:, None])[:, None, :]).sum(axis=0)
-    np.subtract.at(pairs, (tags[:-1], tags[1:]), 1)
+    pairs -= np.bincount((tags[:-1].astype(int) * N_TAGS + tags[1:]).ravel(), minlength=N_TAGS * N_TAGS).reshape(N_TAGS, N_TAGS)
     grads["A"] = pairs
     for t in range(steps):
         de[t, rows, tags[t]] -= 1
     grads["c"], grads["O"] = de.sum(axis=(0, 1)), np.tensordot(states, de, ([0, 1], [0, 1]))
-    d_states = de @ p["O"].T
-    _run_back(p, grads, chars, "f", d_states[:, :, :HIDDEN], keep_f)
-    _run_back(p, grads, chars, "b", d_states[:, :, HIDDEN:], keep_b)
+    _run_back(p, grads, chars, de @ p["O"].T, saved)
     return float((log_z - gold).sum() / batch), {k: g / batch for k, g in grads.items()}
 
 
 def train(chars: np.ndarray, tags: np.ndarray, epochs: int, seed: int, batch: int = 64, rate: float = 0.01) -> dict[str, np.ndarray]:
     """Adam over windows (count, WINDOW); the seed fixes the result."""
     rng = np.random.default_rng(seed)
-    p = new_parameters(rng)
+    p = {k: x.astype(np.float32) for k, x in new_parameters(rng).items()}
     m, v = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
     n_steps, step = epochs * (len(chars) // batch), 0
     for _ in range(epochs):
@@ -125,11 +131,11 @@ def train(chars: np.ndarray, tags: np.ndarray, epochs: int, seed: int, batch: in
             step += 1
             now = rate * (1 - 0.9 * step / n_steps)
             for k in p:
-                g = grads[k] * min(1.0, 5.0 / (size + 1e-9))
+                g = (grads[k] * min(1.0, 5.0 / (size + 1e-9))).astype(np.float32)
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.999 * v[k] + 0.001 * g * g
-                p[k] = p[k] - now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-    return {k: x.astype(np.float32) for k, x in p.items()}
+                p[k] = (p[k] - now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+    return p
 
 
 def emissions(p: dict, windows: np.ndarray, batch: int = 512) -> np.ndarray:
@@ -137,7 +143,7 @@ def emissions(p: dict, windows: np.ndarray, batch: int = 512) -> np.ndarray:
     out = np.empty((*windows.shape, N_TAGS), np.float32)
     for s in range(0, len(windows), batch):
         chars = windows[s : s + batch].T
-        states = np.concatenate([_run(p, chars, "f")[0], _run(p, chars, "b")[0]], axis=2)
+        states = _run(p, chars)[0]
         out[s : s + batch] = (states @ p["O"] + p["c"]).transpose(1, 0, 2)
     return out
 
