@@ -46,3 +46,14 @@ def text_slices(batches, max_bytes: int = 8 << 20):
 
 def fresh_name(prefix: str) -> str:
     return f"{prefix}_{uuid.uuid4().hex[:12]}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out to all cores if it is too small to give every second core a file split of its own.
+
+    Only then is the shuffle that this takes small as well; larger inputs keep their splits and shuffle nothing.
+    """
+    spark = df.sparkSession
+    cores, split = spark.sparkContext.defaultParallelism, spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size < split * cores // 2 else df

@@ -17,7 +17,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, packed
+from .common import ascii_lower, packed, spread
 from .windows import covered, with_window_hashes, words_of
 
 WIDTH = 10
@@ -82,6 +82,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame
         word = F.get(table, F.shiftright(slot, 6).cast("int"))
         return F.call_function("getbit", word, slot.bitwiseAND(F.lit(63)).cast("int")) == 1
 
+    docs = spread(docs.select("doc_id", "text"))
     rows = _hashed(docs, docs["text"], [docs["doc_id"].alias("doc_id"), F.monotonically_increasing_id().alias("__rid")])
     rows = with_window_hashes(rows, "__h", widths, "__x")
     spots = F.concat(*[_spots(w, test) for w in widths]) if len(widths) > 1 else _spots(widths[0], test)

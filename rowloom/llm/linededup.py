@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import materialise, release
-from .common import packed, text_slices
+from .common import spread, text_slices
 
 MIN_CHARS, MIN_DOCS = 20, 3
 BATCHES, FANOUT = 4, 4
@@ -58,7 +58,7 @@ def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                 rows += [i] * len(own)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(keys, pa.binary())], ["doc_id", "h"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(emit, "doc_id long, h binary")
+    return spread(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))).mapInArrow(emit, "doc_id long, h binary")
 
 
 def summed(keys: DataFrame) -> DataFrame:

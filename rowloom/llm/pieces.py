@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import spread, text_slices
 
 META = "▁"
 _META, _BAD = META.encode(), "�".encode()
@@ -226,7 +226,7 @@ def encode_documents(docs: DataFrame, model_path: str, carry: list[str] | None =
             decoded = pa.array(codec.decode([c[0].tolist() for c in coded]), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("row"), *lists, decoded], ["row", "ids", "starts", "ends", "decoded"])
 
-    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs["text"].alias("text"))
+    rows = spread(docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs["text"].alias("text")))
     empty = rows.select("row", *[F.array().cast("array<int>").alias(c) for c in ("ids", "starts", "ends")], F.lit("").alias("decoded"))
     out = rows.mapInArrow(emit, empty.schema)
     return out.select(*[F.col("row")[c].alias(c) for c in names], "ids", "starts", "ends", "decoded")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tagger
-from .common import text_slices
+from .common import spread, text_slices
 from .tagger import KINDS, STRIDE, WINDOW
 
 N_TRAINING, EPOCHS, SEED, LOG_ODDS = 4096, 6, 11, 3.0
@@ -244,7 +244,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
             both = spans(p.value, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), listed(b for b, _ in both), listed(a for _, a in both)], ["doc_id", "base", "found"])
 
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    rows = spread(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")))
     return rows.mapInArrow(emit, f"doc_id long, base {SPAN}, found {SPAN}")
 
 
@@ -270,6 +270,6 @@ def masked(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
             hidden = [hide(t, found) for t, (_, found) in zip(texts, spans(p.value, texts))]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(hidden, pa.string())], ["row", "text"])
 
-    rows = docs.select(F.struct(*[docs[c] for c in names if c != "text"]).alias("row"), docs["text"].alias("text"))
+    rows = spread(docs.select(F.struct(*[docs[c] for c in names if c != "text"]).alias("row"), docs["text"].alias("text")))
     out = rows.mapInArrow(emit, rows.schema)
     return out.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in names])

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import materialise
-from .common import text_slices
+from .common import spread, text_slices
 
 MAX_LABELLED, PARTNERS, RIDGE, THRESHOLD, SEED = 10_000, 20, 1e-3, 0.7, 17
 FEATURES = (
@@ -60,7 +60,7 @@ def features(docs: DataFrame) -> DataFrame:
             x = pa.array([text_features(t) for t in batch.column("text").to_pylist()], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), x], ["doc_id", "x"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(emit, "doc_id long, x array<double>")
+    return spread(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))).mapInArrow(emit, "doc_id long, x array<double>")
 
 
 def held_out(doc_id: Column) -> Column:

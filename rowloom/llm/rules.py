@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import materialise, release
-from .common import BLANKS, UPPER, inline_rows
+from .common import BLANKS, UPPER, inline_rows, spread
 from .windows import covered, with_window_hashes, words_of
 
 SYMBOLS = "#*$%&|<>"
@@ -136,6 +136,7 @@ def judged(measured: DataFrame, levels: list[dict]) -> DataFrame:
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: statistics, base_failed, kept. The text is read once; its statistics are written down."""
+    docs = spread(docs.select("doc_id", "text", "lang"))
     measured = materialise(text_statistics(docs, [docs["doc_id"].alias("doc_id"), stratum_of(docs).alias("stratum")]), "rules")
     return judged(measured, certified_levels(measured, labels))
 
@@ -145,7 +146,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Statistics are computed twice, once for the proofs and once beside the rows: texts are never shuffled.
     """
-    cols = docs.columns
+    cols, docs = docs.columns, spread(docs)
     measured = materialise(text_statistics(docs, [docs["doc_id"].alias("doc_id"), stratum_of(docs).alias("stratum")]), "rules")
     levels = certified_levels(measured, labels)
     release(measured)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import materialise, release
-from .common import packed, text_slices
+from .common import packed, spread, text_slices
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 BLOCK_BITS = (13, 13, 13, 13, 12)
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fps = [fingerprint(shingle_hashes(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(emit, "doc_id long, fp long")
+    return spread(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))).mapInArrow(emit, "doc_id long, fp long")
 
 
 class BKTree:
