@@ -11,6 +11,11 @@ edges within the radius. Trees of more than ``TREE_SIZE`` fingerprints are cut i
 is a task's work of its own, so no hot tree stays in one task. Trees send star edges (member, smallest of its local
 component), never all pairs. The trees together grow with the corpus, so they are co-located by key, not broadcast.
 
+``near_duplicates`` is that, with one fingerprint. ``one_of_each`` is to catch near copies down to a similarity of 0.8
+of their 5-word shingles, which differ in 4 to 11 bits of one fingerprint: it takes ``PRINTS`` fingerprints, made by
+mixing the same shingle hashes with different constants, and links what one of its trees holds within ``WIDE_RADIUS``
+bits in any of them, that is, what agrees on two blocks and differs in few bits.
+
 Components come from alternating large-star and small-star steps over those edges, each written to the shared folder.
 
 Defined results: a text without words (null, empty, blank) has fingerprint zero and links like any other; fewer words
@@ -35,6 +40,7 @@ from .common import packed, spread, text_slices
 SHINGLE, RADIUS, SEED = 3, 3, 42
 BLOCK_BITS = (13, 13, 13, 13, 12)
 TREE_SIZE, LEAF = 4096, 64
+PRINTS, WIDE_RADIUS = 6, 5
 
 
 def shingle_hashes(text: str | None, width: int = SHINGLE) -> np.ndarray:
@@ -60,15 +66,27 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(on, bitorder="little").view(np.int64)[0]) if len(hashes) else 0
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp as a signed 64-bit number."""
+def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th independent version of 64-bit hashes (k = 0: as they are): xor with a constant, then a finalizer."""
+    if k == 0:
+        return hashes
+    x = hashes ^ np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprints(docs: DataFrame, n: int = 1) -> DataFrame:
+    """(doc_id, fp, more): fp as a signed 64-bit number, and the n - 1 further ones."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            fps = [fingerprint(shingle_hashes(t)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            hashes = [shingle_hashes(t) for t in batch.column("text").to_pylist()]
+            fps = pa.array([fingerprint(h) for h in hashes], pa.int64())
+            more = pa.array([[fingerprint(mixed(h, k)) for k in range(1, n)] for h in hashes], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fps, more], ["doc_id", "fp", "more"])
 
-    return spread(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))).mapInArrow(emit, "doc_id long, fp long")
+    return spread(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))).mapInArrow(emit, "doc_id long, fp long, more array<long>")
 
 
 class BKTree:
@@ -119,7 +137,7 @@ def local_components(values: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     return label
 
 
-def _tree_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tree_edges(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """Star edges of each tree in a partition sorted by tree and fingerprint; a tree has at most two parts' rows."""
     names = ["k", "v", "p", "q"]
     held: np.ndarray | None = None
@@ -138,12 +156,12 @@ def _tree_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low, high = [], []
         pairs = ends - starts == 2
         a, b = held[starts[pairs], 4], held[starts[pairs] + 1, 4]
-        near = np.bitwise_count((a ^ b).view(np.uint64)) <= RADIUS
+        near = np.bitwise_count((a ^ b).view(np.uint64)) <= radius
         low.append(np.minimum(a, b)[near])
         high.append(np.maximum(a, b)[near])
         for s, e in zip(starts[ends - starts > 2], ends[ends - starts > 2]):
             values = np.unique(held[s:e, 4])
-            label = local_components(values.view(np.uint64))
+            label = local_components(values.view(np.uint64), radius)
             other = label != np.arange(len(values))
             low.append(values[label[other]])
             high.append(values[other])
@@ -159,8 +177,11 @@ def _tree_keys():
     return F.array(*[F.struct(F.lit(k).cast("int").alias("k"), F.shiftleft(block[i], 13).bitwiseOR(block[j]).alias("v")) for k, (i, j) in enumerate(pairs)])
 
 
-def near_edges(distinct: DataFrame) -> DataFrame:
-    """(u, v), u > v: edges whose components are those of all links between different fingerprints of ``fp``."""
+def near_edges(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(u, v), u > v: edges whose components are those of all links between different fingerprints of ``fp``.
+
+    Up to ``RADIUS`` bits all pairs meet in a tree; with a larger radius those that agree on two blocks do.
+    """
     keyed = distinct.select("fp", F.explode(_tree_keys()).alias("t")).select("t.k", "t.v", "fp")
     sizes = keyed.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     trees = keyed.join(sizes, ["k", "v"]).withColumn("parts", F.ceil(F.col("n") / TREE_SIZE).cast("int"))
@@ -168,7 +189,7 @@ def near_edges(distinct: DataFrame) -> DataFrame:
     trees = trees.select("k", "v", "fp", part.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     trees = trees.select("k", "v", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "fp")
     dealt = trees.repartition("k", "v", "p", "q").sortWithinPartitions("k", "v", "p", "q", "fp")
-    return dealt.mapInArrow(_tree_edges, "u long, v long").distinct()
+    return dealt.mapInArrow(lambda batches: _tree_edges(batches, radius), "u long, v long").distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -197,26 +218,46 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id of the class): one row per document."""
-    prints = materialise(fingerprints(docs), "prints")
-    return classes(prints)
+    return classes(materialise(fingerprints(docs), "prints"))
+
+
+def _further_edges(distinct: DataFrame, k: int, radius: int) -> DataFrame:
+    """Links in the k-th further fingerprint as edges between first ones.
+
+    Rows that share the further one are tied to the smallest first one among them, which stands for it in its links.
+    """
+    own = distinct.select("fp", F.get("more", F.lit(k)).alias("other"))
+    heads = own.groupBy("other").agg(F.min("fp").alias("head"))
+    ties = own.join(heads, "other").select(F.col("fp").alias("u"), F.col("head").alias("v"))
+    links = near_edges(heads.select(F.col("other").alias("fp")), radius)
+    named = lambda c: heads.select(F.col("other").alias(c), F.col("head").alias(f"{c}h"))
+    links = links.join(named("u"), "u").join(named("v"), "v").select(F.greatest("uh", "vh").alias("u"), F.least("uh", "vh").alias("v"))
+    return ties.unionByName(links).where("u > v")
 
 
-def classes(prints: DataFrame) -> DataFrame:
+def classes(prints: DataFrame, n: int = 1, radius: int = RADIUS) -> DataFrame:
+    """doc_id, fp, component_id from (doc_id, fp, more) with n fingerprints in all."""
     distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    linked = components(near_edges(distinct.select("fp")))
+    edges = near_edges(distinct.select("fp"), radius)
+    if n > 1:
+        vectors = materialise(prints.select("fp", "more").distinct(), "vectors")
+        for k in range(n - 1):
+            edges = edges.unionByName(_further_edges(vectors, k, radius))
+    linked = components(edges.distinct())
     rooted = distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     heads = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(heads, "root").select(F.col("fp").alias("nfp"), "component_id")
     return prints.join(named, prints["fp"] == F.col("nfp"), "left").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with the document of the smallest doc_id of each class.
+def one_of_each(docs: DataFrame, n: int = PRINTS, radius: int = WIDE_RADIUS) -> DataFrame:
+    """``docs`` with the document of the smallest doc_id of each class of ``n`` fingerprints.
 
     A class's id is its smallest doc_id, so the survivors are found without gathering any class. Rows with a null
     doc_id, which no id can name, stay; of rows that repeat an id one stays.
     """
-    firsts = near_duplicates(docs).where("doc_id = component_id").select("component_id").distinct()
+    found = classes(materialise(fingerprints(docs, n), "prints"), n, radius)
+    firsts = found.where("doc_id = component_id").select("component_id").distinct()
     rows = packed(docs).withColumn("id", F.col("row.doc_id").cast("long"))
     kept = rows.where("id IS NOT NULL").join(firsts, F.col("id") == F.col("component_id"), "left_semi").dropDuplicates(["id"])
     return kept.unionByName(rows.where("id IS NULL")).select("row.*")

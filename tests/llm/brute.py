@@ -4,7 +4,6 @@ import collections
 import hashlib
 import re
 
-import numpy as np
 import xxhash
 
 
@@ -72,14 +71,29 @@ def statistics(docs):
     return out
 
 
-def simhash(docs, width=3, radius=3):
+def mix(h, k):
+    if k == 0:
+        return h
+    x = h ^ k * 0x9E3779B97F4A7C15 % 2**64
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+    x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+    return x ^ x >> 31
+
+
+def linked(a, b, radius):
+    """Within the radius, and equal on two of the blocks of 13, 13, 13, 13 and 12 bits."""
+    d = a ^ b
+    return d.bit_count() <= radius and sum(not d >> at & (1 << n) - 1 for at, n in zip((0, 13, 26, 39, 52), (13, 13, 13, 13, 12))) >= 2
+
+
+def simhash(docs, width=3, radius=3, n=1):
     """[(doc_id, fingerprint hex, component)]."""
     prints = []
     for _, t in docs:
         w = re.findall(r"[^\x20\x09-\x0D]+", low(t or ""))
         s = [" ".join(w[j : j + width]) for j in range(len(w) - width + 1)] if len(w) >= width else [" ".join(w)] if w else []
         h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
-        prints.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
+        prints.append([sum(1 << b for b in range(64) if 2 * sum(mix(x, k) >> b & 1 for x in h) > len(h)) for k in range(n)])
     label = list(range(len(prints)))
 
     def root(x):
@@ -87,17 +101,16 @@ def simhash(docs, width=3, radius=3):
             x = label[x]
         return x
 
-    f = np.array(prints, np.uint64)
-    for a in range(len(f)):
+    for a in range(len(prints)):
         for b in range(a):
-            if int(np.bitwise_count(f[a] ^ f[b])) <= radius:
+            if any((x ^ y).bit_count() <= radius if radius <= 3 else linked(x, y, radius) for x, y in zip(prints[a], prints[b])):
                 x, y = root(a), root(b)
                 label[max(x, y)] = min(x, y)
     best = {}
     for a, (i, _) in enumerate(docs):
         if i is not None:
             best[root(a)] = min(best.get(root(a), i), i)
-    return [(i, f"{p:016x}", best.get(root(a))) for a, ((i, _), p) in enumerate(zip(docs, prints))]
+    return [(i, f"{p[0]:016x}", best.get(root(a))) for a, ((i, _), p) in enumerate(zip(docs, prints))]
 
 
 def personal(text):

@@ -153,7 +153,7 @@ def test_simhash(docs, nothing):
     assert simhash.near_duplicates(nothing).isEmpty()
     kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns
-    firsts = {c for _, _, c in brute.simhash(texts())}
+    firsts = {c for _, _, c in brute.simhash(texts(), radius=5, n=6)}
     ids = [r[0] for r in kept.select("doc_id").collect()]
     assert sorted(i for i in ids if i is not None) == sorted(firsts - {None}) and ids.count(None) == 2
 
@@ -172,7 +172,7 @@ def test_large_near_group_is_split(spark, monkeypatch):
                 x ^= 1 << int(b)
             prints.add(((x + 2**63) % 2**64) - 2**63)
     values = sorted(prints)
-    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "doc_id long, fp long")
+    df = spark.createDataFrame([(i, v, []) for i, v in enumerate(values)], "doc_id long, fp long, more array<long>")
     label = list(range(len(values)))
 
     def root(x):
