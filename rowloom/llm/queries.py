@@ -150,6 +150,36 @@ FROM t GROUP BY conv_id
 """
 
 
+def _op9() -> str:
+    """The rules with their certified levels, from the same tables of cutoffs."""
+    from .rules import ALPHA, DELTA, LEVELS, MAX_REPEAT_PERCENT, MIN_WORDS, SYMBOLS, WINDOW
+
+    n_levels = len(next(iter(LEVELS.values())))
+    cuts = ", ".join("(" + ", ".join([str(v + 1), *(str(c[v]) for c in LEVELS.values())]) + ")" for v in range(n_levels))
+    over = " OR ".join(f"s.{r} > c.{r}" for r in LEVELS)
+    count = lambda chars: f"length(t) - length(regexp_replace(t, '[{chars}]', '', 'g'))"
+    symbols = "".join("\\" + c for c in SYMBOLS)
+    tail = f"list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}) + (n - i) * ln(1 - {ALPHA}))))"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS stratum FROM documents),
+w AS (SELECT doc_id, t, stratum, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: trim(x, {_BLANKS}) <> '') AS ls FROM d),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, v) AS times FROM (SELECT doc_id, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS v FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM w))),
+r AS (SELECT doc_id, count(DISTINCT spot) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + {WINDOW})) AS spot FROM g WHERE times > 1) GROUP BY doc_id),
+b AS (SELECT doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST({count(symbols)} AS BIGINT) AS n_symbols,
+  {count('!')} AS bangs, {count('A-Z')} AS capitals, len(ls) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+  len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) AS stutters FROM w LEFT JOIN r USING (doc_id)),
+s AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed, coalesce(n_symbols / nullif(n_words, 0), 0) AS symbols_per_word, coalesce(bangs / nullif(n_words, 0), 0) AS bangs_per_word,
+  coalesce(capitals / nullif(word_chars, 0), 0) AS capital_share, coalesce(stutters / nullif(n_words, 0), 0) AS stutter_share, coalesce(n_dup_lines / nullif(n_lines, 0), 0) AS dup_line_share FROM b),
+c(level, {", ".join(LEVELS)}) AS (VALUES {cuts}),
+q AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1),
+k AS (SELECT stratum, level, CAST(count(*) AS BIGINT) AS n, CAST(count_if({over}) AS BIGINT) AS k FROM s JOIN q USING (doc_id), c WHERE NOT base_failed GROUP BY stratum, level),
+e AS (SELECT * FROM k WHERE n >= ln({DELTA / n_levels}) / ln(1 - {ALPHA})),
+l AS (SELECT stratum, max(level) AS level FROM e WHERE least(1, {tail}) <= {DELTA} / ({n_levels} * (SELECT count(DISTINCT stratum) FROM e)) GROUP BY stratum)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce({over}, false) AS kept
+FROM s LEFT JOIN l USING (stratum) LEFT JOIN c ON c.level = l.level
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that SQL can express; the others are tested against plain versions."""
-    return {"op4_line_runs": _OP4, "op5_benchmark_windows": _OP5, "op10_chat_parts": _OP10}
+    return {"op4_line_runs": _OP4, "op5_benchmark_windows": _OP5, "op9_risk_controlled_rules": _op9(), "op10_chat_parts": _OP10}
