@@ -198,7 +198,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     The smallest neighbour is a partial aggregate and joined back, so that a hub's edges are never in one group.
     """
     edges = materialise(edges, "cc-0")
-    mark = None
     for _ in range(max_rounds):
         both = edges.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(edges.select(F.col("v").alias("a"), F.col("u").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -208,11 +207,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         after = materialise(small.where("u > v").distinct(), "cc")
         release(edges)
         edges = after
-        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.count_distinct("u")).first()
-        # A fixed point: each node has one edge, and the edges are those of the round before.
-        if now[0] == now[2] and mark == (now[0], now[1]):
+        n, different = edges.agg(F.count(F.lit(1)), F.count_distinct("u")).first()
+        # Done when all edges form stars: each node has one edge, and no centre has any.
+        if n == different and edges.join(edges.select(F.col("u").alias("inner")), F.col("v") == F.col("inner"), "left_semi").isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = (now[0], now[1])
     raise RuntimeError("components did not settle")
 
 
