@@ -8,6 +8,9 @@ ordered placeholder, a reference in ``attachments`` and the number of tokens tha
 and ``\``, ``<|`` (and, in roles, newlines) are escaped in roles and texts, so control strings that a user types are
 ordinary text and the original comes back exactly. The loss mask covers the escaped content of assistant turns.
 
+A conversation is one row of the result, so its turns meet in one task at last: as one row from each task that held
+some of them, already rendered. Nothing else is gathered.
+
 Defined results: null text, role or parts: empty; a null turn sorts first; equal turns are ordered by role, then
 content; a null conversation id is a conversation of its own; repeated rows stay; an empty table gives no rows. Other
 columns are not read.
