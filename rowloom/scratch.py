@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_LOCAL = "/tmp/checkpoints/rowloom"
+_local_folders: set[str] = set()
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -19,7 +23,11 @@ def scratch_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise RuntimeError(f"set {_SETTING} to a folder that driver and executors share")
-    return "/tmp/checkpoints/rowloom"
+    folder = f"{_LOCAL}/{spark.sparkContext.applicationId}"
+    if folder not in _local_folders:
+        _local_folders.add(folder)
+        atexit.register(shutil.rmtree, folder, True)
+    return _LOCAL
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
