@@ -30,6 +30,8 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 ALPHA, DELTA = 0.05, 0.05
+#: Most bytes of labelled ids that are broadcast, and what one of them takes in a hash set.
+BROADCAST_BYTES, ID_BYTES = 64 << 20, 64
 #: Cutoffs of each rule from the most lenient level to the strictest.
 LEVELS = {
     "symbols_per_word": [2.0, 1.5, 1.0, 0.7, 0.5, 0.3, 0.2, 0.1],
@@ -144,10 +146,16 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rejected rows, all columns as they were.
 
-    Statistics are computed twice, once for the proofs and once beside the rows: texts are never shuffled.
+    Statistics are computed twice, for the labelled documents and then beside all rows: texts are never shuffled. The
+    labelled ids are broadcast when their measured number fits ``BROADCAST_BYTES``; beyond, statistics of all documents
+    are written and joined.
     """
     cols, docs = docs.columns, spread(docs)
-    measured = materialise(text_statistics(docs, [docs["doc_id"].alias("doc_id"), stratum_of(docs).alias("stratum")]), "rules")
+    ids = labels.where(labels["doc_id"].isNotNull() & (labels["quality"] == 1)).select(labels["doc_id"].alias("__lid")).distinct()
+    taught = docs.select("doc_id", "text", "lang")
+    if ids.count() * ID_BYTES <= BROADCAST_BYTES:
+        taught = taught.join(F.broadcast(ids), taught["doc_id"] == ids["__lid"], "left_semi")
+    measured = materialise(text_statistics(taught, [taught["doc_id"].alias("doc_id"), stratum_of(taught).alias("stratum")]), "rules")
     levels = certified_levels(measured, labels)
     release(measured)
     whole = text_statistics(docs, [F.struct(*[docs[c] for c in cols]).alias("row"), stratum_of(docs).alias("stratum")])
