@@ -205,8 +205,8 @@ def _graph(spark, d, weighted: bool) -> graph.Graph:
     return graph.Graph.from_edges(t, "s", "t", "w" if weighted else None, 60)
 
 
-def _pagerank_sql(steps: int, share: str, base: str, final: str = "SELECT vertex, round(r, 9) AS rank FROM r{n}") -> str:
-    parts = [f"e AS ({_EDGES})", f"o AS (SELECT s, sum({share}) g FROM e GROUP BY s)", f"f AS (SELECT s, t, 0.85 * {share} / g f FROM e JOIN o USING (s))", "v AS (SELECT range AS vertex FROM range(60))", "r0 AS (SELECT vertex, 1 - 0.85 AS r FROM v)"]
+def _pagerank_sql(steps: int, share: str, base: str, final: str = "SELECT vertex, round(r, 9) AS rank FROM r{n}", edges: str = _EDGES, ids: str = "range(60)") -> str:
+    parts = [f"e AS ({edges})", f"o AS (SELECT s, sum({share}) g FROM e GROUP BY s)", f"f AS (SELECT s, t, 0.85 * {share} / g f FROM e JOIN o USING (s))", f"v AS (SELECT range AS vertex FROM {ids})", "r0 AS (SELECT vertex, 1 - 0.85 AS r FROM v)"]
     for k in range(steps):
         parts.append(f"u{k} AS (SELECT v.vertex, coalesce(q.z, 0) + {base} r FROM v LEFT JOIN (SELECT t, sum(f * r) z FROM f JOIN r{k} ON s = vertex GROUP BY t) q ON q.t = v.vertex)")
         parts.append(f"r{k + 1} AS (SELECT vertex, r / (SELECT sum(r) FROM u{k}) r FROM u{k})")
@@ -234,6 +234,43 @@ def pagerank_top_vertex(spark, d):
     return graph.top_vertex(graph.pagerank(_graph(spark, d, False), 5, 0))
 
 
+# The four above fold ids into 60 vertices, as their SQL does; these four rank the whole graph.
+_ALL_EDGES = "SELECT l_suppkey AS s, l_partkey AS t, count(*) AS x, sum(l_quantity) AS w FROM lineitem GROUP BY ALL"
+_ALL_IDS = "range((SELECT CAST(max(greatest(l_suppkey, l_partkey)) + 1 AS BIGINT) FROM lineitem))"
+_ALL_N = "(SELECT count(*) FROM v)"
+_ALL_RANKS = "SELECT vertex, round(r, 12) AS rank FROM r{n}"
+
+
+def _whole_graph(spark, d, weighted: bool) -> graph.Graph:
+    return graph.Graph.from_edges(table(spark, d, "lineitem"), "l_suppkey", "l_partkey", "l_quantity" if weighted else None)
+
+
+def _whole_pagerank_sql(steps: int, share: str, base: str, final: str = _ALL_RANKS) -> str:
+    return _pagerank_sql(steps, share, base, final, _ALL_EDGES, _ALL_IDS).replace(" AS (", " AS MATERIALIZED (")
+
+
+@query(_whole_pagerank_sql(5, "x", f"(1 - 0.85) / {_ALL_N}"))
+def pagerank_five_rounds_whole(spark, d):
+    return graph.pagerank(_whole_graph(spark, d, False), 5, 0).withColumn("rank", F.round("rank", 12))
+
+
+@query(_whole_pagerank_sql(4, "(x * w)", f"(1 - 0.85) / {_ALL_N}"))
+def pagerank_weighted_whole(spark, d):
+    return graph.pagerank(_whole_graph(spark, d, True), 4, 0).withColumn("rank", F.round("rank", 12))
+
+
+@query(_whole_pagerank_sql(4, "x", f"(1 - 0.85) * (v.vertex % 5) / (2.0 * {_ALL_N})"))
+def pagerank_personalized_whole(spark, d):
+    g = _whole_graph(spark, d, False)
+    own = spark.range(g.n_vertices).select(F.col("id").alias("vertex"), ((F.col("id") % 5) / (2.0 * g.n_vertices)).alias("value"))
+    return graph.pagerank(g, 4, 0, personalized=own).withColumn("rank", F.round("rank", 12))
+
+
+@query(_whole_pagerank_sql(5, "x", f"(1 - 0.85) / {_ALL_N}", "SELECT vertex + 1 AS vertex FROM r{n} ORDER BY r DESC, vertex LIMIT 1"))
+def pagerank_top_vertex_whole(spark, d):
+    return graph.top_vertex(graph.pagerank(_whole_graph(spark, d, False), 5, 0))
+
+
 # -- trees -----------------------------------------------------------------------------------------------------------------
 
 _BIN = "CAST(greatest(0, least(floor((l_extendedprice - lo) * 64 / (hi - lo)), 63)) AS INTEGER)"
