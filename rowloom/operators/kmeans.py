@@ -40,6 +40,10 @@ class KMeansModel:
 
 
 def _distances(columns: list[str], centers: np.ndarray) -> list[Column]:
+    if len(columns) > 16:  # one loop over an array: nested sums of many terms take minutes to compile
+        values = F.array(*columns)
+        square = lambda a, b: (a - b) * (a - b)
+        return [F.aggregate(F.zip_with(values, F.array(*[F.lit(float(x)) for x in center]), square), F.lit(0.0), lambda s, x: s + x) for center in centers]
     out = []
     for center in centers:
         d = F.lit(0.0)

@@ -154,22 +154,23 @@ def glm_cross_validation(spark, d):
 # -- clustering ------------------------------------------------------------------------------------------------------------
 
 DIMS = ["x1", "x2", "x3", "x4"]
+ALL_DIMS = [f"x{k}" for k in range(1, 65)]
 
 
-def _points(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", *[F.get("embedding", F.lit(k)).cast("double").alias(c) for k, c in enumerate(DIMS)])
+def _points(spark, d, dims: list[str] = DIMS):
+    return table(spark, d, "embeddings").select("vec_id", *[F.get("embedding", F.lit(k)).cast("double").alias(c) for k, c in enumerate(dims)])
 
 
-def _start(spark, d) -> np.ndarray:
-    return np.array([[r[c] for c in DIMS] for r in _points(spark, d).where("vec_id < 3").orderBy("vec_id").collect()])
+def _start(spark, d, dims: list[str] = DIMS) -> np.ndarray:
+    return np.array([[r[c] for c in dims] for r in _points(spark, d, dims).where("vec_id < 3").orderBy("vec_id").collect()])
 
 
-def _kmeans_sql(steps: int, final: str) -> str:
-    parts = ["p AS (SELECT vec_id, " + ", ".join(f"CAST(embedding[{k + 1}] AS DOUBLE) {c}" for k, c in enumerate(DIMS)) + " FROM embeddings)", "c0 AS (SELECT vec_id + 1 k, x1, x2, x3, x4 FROM p WHERE vec_id < 3)"]
-    dist = " + ".join(f"(p.{c} - c.{c}) * (p.{c} - c.{c})" for c in DIMS)
+def _kmeans_sql(steps: int, final: str, dims: list[str] = DIMS) -> str:
+    parts = ["p AS (SELECT vec_id, " + ", ".join(f"CAST(embedding[{k + 1}] AS DOUBLE) {c}" for k, c in enumerate(dims)) + " FROM embeddings)", f"c0 AS (SELECT vec_id + 1 k, {', '.join(dims)} FROM p WHERE vec_id < 3)"]
+    dist = " + ".join(f"(p.{c} - c.{c}) * (p.{c} - c.{c})" for c in dims)
     for s in range(steps + 1):
         parts.append(f"a{s} AS (SELECT vec_id, k, dd FROM (SELECT p.vec_id, c.k, {dist} dd, row_number() OVER (PARTITION BY p.vec_id ORDER BY {dist}, c.k) r FROM p, c{s} c) WHERE r = 1)")
-        parts.append(f"c{s + 1} AS (SELECT c.k, " + ", ".join(f"coalesce(m.{c}, c.{c}) {c}" for c in DIMS) + f" FROM c{s} c LEFT JOIN (SELECT k, " + ", ".join(f"avg({c}) {c}" for c in DIMS) + f" FROM a{s} JOIN p USING (vec_id) GROUP BY k) m USING (k))")
+        parts.append(f"c{s + 1} AS (SELECT c.k, " + ", ".join(f"coalesce(m.{c}, c.{c}) {c}" for c in dims) + f" FROM c{s} c LEFT JOIN (SELECT k, " + ", ".join(f"avg({c}) {c}" for c in dims) + f" FROM a{s} JOIN p USING (vec_id) GROUP BY k) m USING (k))")
     return f"WITH {', '.join(parts)} {final}"
 
 
@@ -178,23 +179,55 @@ def kmeans_assign(spark, d):
     return kmeans.apply_centers(_points(spark, d), DIMS, _start(spark, d)).select("vec_id", "cluster")
 
 
-@query(_kmeans_sql(3, "SELECT CAST(k AS INTEGER) AS k, count(*) AS n, round(sum(dd), 6) AS withinss FROM a3 GROUP BY k"))
-def kmeans_three_steps(spark, d):
+def _fit_three(spark, d, dims: list[str], complete: bool) -> kmeans.KMeansModel:
     import warnings
 
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
-        m = kmeans.fit_kmeans(_points(spark, d), _start(spark, d), DIMS, iter_max=3, complete=False)
+        return kmeans.fit_kmeans(_points(spark, d, dims), _start(spark, d, dims), dims, iter_max=3, complete=complete)
+
+
+def _three_steps(spark, d, dims: list[str]):
+    m = _fit_three(spark, d, dims, False)
     rows = [(k + 1, int(n), round(float(w), 6)) for k, (n, w) in enumerate(zip(m.sizes, m.withinss)) if n]
     return spark.createDataFrame(rows, "k int, n long, withinss double")
 
 
-@query("WITH p AS (" + " UNION ALL ".join(f"SELECT {k} k, CAST(embedding[{k}] AS DOUBLE) x FROM embeddings" for k in range(1, 5)) + ") SELECT round(sum(v), 6) AS totss FROM (SELECT var_pop(x) * count(*) v FROM p GROUP BY k)")
+_STEPS_3 = "SELECT CAST(k AS INTEGER) AS k, count(*) AS n, round(sum(dd), 6) AS withinss FROM a3 GROUP BY k"
+
+
+@query(_kmeans_sql(3, _STEPS_3))
+def kmeans_three_steps(spark, d):
+    return _three_steps(spark, d, DIMS)
+
+
+def _total_sql(n: int) -> str:
+    return "WITH p AS (" + " UNION ALL ".join(f"SELECT {k} k, CAST(embedding[{k}] AS DOUBLE) x FROM embeddings" for k in range(1, n + 1)) + ") SELECT round(sum(v), 6) AS totss FROM (SELECT var_pop(x) * count(*) v FROM p GROUP BY k)"
+
+
+@query(_total_sql(4))
 def kmeans_total_squares(spark, d):
     m = kmeans.fit_kmeans(_points(spark, d), 3, DIMS, iter_max=50, seed=5)
     return spark.createDataFrame([(round(m.totss, 6),)], "totss double")
 
 
+# The three above read the first four entries, as their SQL does; these three read all 64.
+@query(_kmeans_sql(0, "SELECT vec_id, CAST(k AS INTEGER) AS cluster FROM a0", ALL_DIMS))
+def kmeans_assign_whole(spark, d):
+    return kmeans.apply_centers(_points(spark, d, ALL_DIMS), ALL_DIMS, _start(spark, d, ALL_DIMS)).select("vec_id", "cluster")
+
+
+@query(_kmeans_sql(3, _STEPS_3, ALL_DIMS))
+def kmeans_three_steps_whole(spark, d):
+    return _three_steps(spark, d, ALL_DIMS)
+
+
+@query(_total_sql(64))
+def kmeans_total_squares_whole(spark, d):
+    m = _fit_three(spark, d, ALL_DIMS, True)  # the total does not depend on the steps
+    return spark.createDataFrame([(round(m.totss, 6),)], "totss double")
+
+
 # -- graphs ------------------------------------------------------------------------------------------------------------------
 
 _EDGES = "SELECT l_suppkey % 60 AS s, l_partkey % 60 AS t, count(*) AS x, sum(l_quantity) AS w FROM lineitem WHERE l_suppkey % 60 > 4 GROUP BY ALL"

@@ -255,3 +255,15 @@ def test_whole_graph_pagerank(spark, tmp_path):
             r = [v / sum(new) for v in new]
         got = {v["vertex"]: v["rank"] for v in analytics.QUERIES[name](spark, str(tmp_path)).collect()}
         assert got == pytest.approx(dict(enumerate(r)), abs=1e-11)
+
+
+def test_whole_vectors_decide_the_cluster(spark, tmp_path):
+    """Vectors that agree on the first four entries and differ in the last one."""
+    from rowloom.plans import analytics
+
+    rows = [(i, [0.0] * 63 + [x]) for i, x in enumerate([0.0, 5.0, 9.0, 8.0, 4.0, 1.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["vec_id"]: r["cluster"] for r in analytics.QUERIES["kmeans_assign_whole"](spark, str(tmp_path)).collect()}
+    assert got == {0: 1, 1: 2, 2: 3, 3: 3, 4: 2, 5: 1}
+    assert analytics.QUERIES["kmeans_total_squares_whole"](spark, str(tmp_path)).first()[0] == pytest.approx(65.5)
+    assert {r["k"]: (r["n"], r["withinss"]) for r in analytics.QUERIES["kmeans_three_steps_whole"](spark, str(tmp_path)).collect()} == {1: (2, 0.5), 2: (2, 0.5), 3: (2, 0.5)}
