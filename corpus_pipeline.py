@@ -9,11 +9,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rowloom.llm.decontam import drop_contaminated
+from rowloom.llm.decontam import drop_contaminated_rows
 from rowloom.llm.linededup import deduplicated
 from rowloom.llm.pieces import encode_documents
 from rowloom.llm.rules import keep_good
-from rowloom.llm.simhash import one_of_each
+from rowloom.llm.simhash import one_row_of_each
 from rowloom.scratch import materialise
 
 
@@ -28,13 +28,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash class stays."""
-    return one_of_each(docs)
+    """One row of each SimHash class stays."""
+    return one_row_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark window go."""
-    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Rows with a benchmark window go."""
+    return drop_contaminated_rows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

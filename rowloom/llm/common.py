@@ -8,6 +8,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import materialise
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Space and the control characters 9 to 13.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -23,6 +25,11 @@ def packed(docs: DataFrame, name: str = "row") -> DataFrame:
     return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias(name))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(row, rid): ``docs`` packed, each row with a number of its own, written down so that every reader sees the same one."""
+    return materialise(packed(docs).withColumn("rid", F.monotonically_increasing_id()), "keyed")
+
+
 def inline_rows(spark, json_rows: str, schema: str) -> DataFrame:
     """A small driver-side table as a literal, without any Python or RDD node in the plan."""
     rows = F.from_json(F.lit(json_rows), f"array<struct<{schema}>>")

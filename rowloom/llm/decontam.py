@@ -7,7 +7,7 @@ hash set and are verified word by word. Only candidates and one small row per do
 
 Defined results: null or empty text has no words and no hits; items without words have no windows; equal items all
 count; repeated rows are judged one by one (``drop_contaminated`` and ``remove_spans`` decide by doc_id, a null id
-being an id of its own); empty tables give no rows or no hits. Only doc_id, text and item_id, text are read.
+being an id of its own; ``drop_contaminated_rows`` decides by row); empty tables give no rows or no hits. Only doc_id, text and item_id, text are read.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, packed, spread
+from .common import ascii_lower, keyed, packed, spread
 from .windows import covered, with_window_hashes, words_of
 
 WIDTH = 10
@@ -108,6 +108,13 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return rows.join(flagged, F.col("row.doc_id").eqNullSafe(F.col("__fid")), "left_anti").select("row.*")
 
 
+def drop_contaminated_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` without the rows that hold a benchmark window; null and repeated ids take no other row along."""
+    rows = keyed(docs)
+    found = scan(rows.select(F.col("rid").alias("doc_id"), F.col("row.text").alias("text")), benchmark).where("n_hit > 0")
+    return rows.join(found.select(F.col("doc_id").alias("hit")), F.col("rid") == F.col("hit"), "left_anti").select("row.*")
+
+
 def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` with every hit word, and what separates it from the next word, cut out of ``text``."""
     names = docs.columns

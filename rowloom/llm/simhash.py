@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import materialise, release
-from .common import packed, spread, text_slices
+from .common import keyed, packed, spread, text_slices
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 BLOCK_BITS = (13, 13, 13, 13, 12)
@@ -259,3 +259,18 @@ def one_of_each(docs: DataFrame, n: int = PRINTS, radius: int = WIDE_RADIUS) ->
     rows = packed(docs).withColumn("id", F.col("row.doc_id").cast("long"))
     kept = rows.where("id IS NOT NULL").join(firsts, F.col("id") == F.col("component_id"), "left_semi").dropDuplicates(["id"])
     return kept.unionByName(rows.where("id IS NULL")).select("row.*")
+
+
+def one_row_of_each(docs: DataFrame, n: int = PRINTS, radius: int = WIDE_RADIUS) -> DataFrame:
+    """``docs`` with one row of each class of ``n`` fingerprints: that of the smallest doc_id, nulls last.
+
+    Classes are of rows, so neither a null nor a repeated doc_id keeps or drops any other row. Among rows of equal id
+    the first by row number stays.
+    """
+    rows = keyed(docs)
+    prints = materialise(fingerprints(rows.select(F.col("rid").alias("doc_id"), F.col("row.text").alias("text")), n), "prints")
+    found = classes(prints, n, radius).select(F.col("doc_id").alias("own"), "component_id")
+    ids = rows.select("rid", F.col("row.doc_id").cast("long").alias("id"))
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "rid")).alias("first")
+    kept = found.join(ids, F.col("own") == F.col("rid")).groupBy("component_id").agg(first).select(F.col("first.rid").alias("kept"))
+    return rows.join(kept, F.col("rid") == F.col("kept"), "left_semi").select("row.*")

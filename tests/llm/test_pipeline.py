@@ -36,3 +36,15 @@ def test_stages(spark):
     last = {r["doc_id"]: list(r["ids"]) for r in corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()}
     assert last == {i: known.encode(t) for i, t in rows(docs)}
     assert {r["doc_id"]: list(r["ids"]) for r in corpus_pipeline.run(spark, SF).collect()} == last
+
+
+def test_stages_decide_by_row(spark, tmp_path):
+    """Null and repeated ids: a row's fate is its own."""
+    spark.createDataFrame([(1, "alpha bravo charlie delta echo foxtrot golf hotel india juliett")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    bad, good = "so alpha bravo charlie delta echo foxtrot golf hotel india juliett ends", [" ".join(f"{w}{k}" for k in range(40)) for w in ("one", "two", "red", "sea")]
+    docs = spark.createDataFrame([(None, bad), (None, good[0]), (7, bad), (7, good[1]), (8, good[2])], "doc_id long, text string")
+    left = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
+    assert sorted(r["text"] for r in left.collect()) == sorted(good[:3])
+    docs = spark.createDataFrame([(7, good[0]), (7, good[1]), (None, good[2]), (None, good[2]), (None, good[3]), (9, good[3]), (6, good[1])], "doc_id long, text string")
+    left = corpus_pipeline.near_dedup(spark, docs, str(tmp_path))
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in left.collect()) == sorted([(7, good[0]), (6, good[1]), (0, good[2]), (9, good[3])])
