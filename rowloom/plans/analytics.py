@@ -337,15 +337,23 @@ def forest_votes(spark, d):
     return forest.combined_votes(votes, ["n", "y"], [0.4, 0.6])
 
 
-def _iris_like(spark, d, n: int = 3000):
-    """Class by rule from three measures: a tree can learn it exactly."""
-    t = table(spark, d, "lineitem").where("l_linenumber = 1").groupBy("l_orderkey").agg(F.max("l_quantity").alias("q"), F.max("l_discount").alias("a"), F.max("l_returnflag").alias("flag"))
+def _iris_like(spark, d, lines: str = "true"):
+    """One row an order, with a class by rule from three measures of its lines: a tree can learn it exactly."""
+    t = table(spark, d, "lineitem").where(lines).groupBy("l_orderkey").agg(F.max("l_quantity").alias("q"), F.max("l_discount").alias("a"), F.max("l_returnflag").alias("flag"))
     return t.withColumn("kind", F.when(F.col("q") < 20, "low").when(F.col("a") < 0.05, "mid").otherwise("high"))
 
 
 @query("SELECT count(*) AS n, count(*) AS n_right FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_linenumber = 1)")
 def tree_learns_rule(spark, d):
-    t = _iris_like(spark, d)
+    return _learned(_iris_like(spark, d, "l_linenumber = 1"))  # as its SQL does
+
+
+@query("SELECT count(*) AS n, count(*) AS n_right FROM (SELECT DISTINCT l_orderkey FROM lineitem)")
+def tree_learns_rule_whole(spark, d):
+    return _learned(_iris_like(spark, d))
+
+
+def _learned(t):
     m = forest.fit_tree(t, "kind ~ q + a + flag", "l_orderkey", cp=0.0, min_split=2, min_leaf=1)
     return m.predict(t).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == F.col("prediction")).alias("n_right"))
 

@@ -267,3 +267,13 @@ def test_whole_vectors_decide_the_cluster(spark, tmp_path):
     assert got == {0: 1, 1: 2, 2: 3, 3: 3, 4: 2, 5: 1}
     assert analytics.QUERIES["kmeans_total_squares_whole"](spark, str(tmp_path)).first()[0] == pytest.approx(65.5)
     assert {r["k"]: (r["n"], r["withinss"]) for r in analytics.QUERIES["kmeans_three_steps_whole"](spark, str(tmp_path)).collect()} == {1: (2, 0.5), 2: (2, 0.5), 3: (2, 0.5)}
+
+
+def test_every_line_reaches_the_orders(spark, tmp_path):
+    """Orders without a line 1 count, and so do lines after the first."""
+    from rowloom.plans import analytics
+
+    rows = [(1, 1, 5.0, 0.01, "A"), (1, 2, 30.0, 0.07, "R"), (2, 3, 7.0, 0.02, "N"), (3, 2, 40.0, 0.01, "N")]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double, l_discount double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r["l_orderkey"]: (r["q"], r["a"], r["flag"], r["kind"]) for r in analytics._iris_like(spark, str(tmp_path)).collect()}
+    assert got == {1: (30.0, 0.07, "R", "high"), 2: (7.0, 0.02, "N", "low"), 3: (40.0, 0.01, "N", "mid")}
