@@ -9,7 +9,7 @@ of the next level. Reading therefore meets few runs, and each entry is rewritten
   earlier batch held come back, and the batch adds its own run.
 * ``dedup_lines(docs)`` is the whole-corpus form: keys of at least ``min_chars`` code points in at least ``min_docs``
   documents stay in the largest doc_id only. As the keeper of a line is known after the last batch, the batches fill
-  the runs first and then all documents are anti-joined with the verdicts.
+  the runs first and then the keys of all documents are joined with the verdicts; ``admit`` is not used.
 
 Defined results: a null or empty text is one empty line (too short to be dropped); rows are documents, so repeated
 rows count each, and all rows with the keeper's id keep the line; null ids are smaller than any id; an empty table
