@@ -27,7 +27,22 @@ def packed(docs: DataFrame, name: str = "row") -> DataFrame:
 
 def keyed(docs: DataFrame) -> DataFrame:
     """(row, rid): ``docs`` packed, each row with a number of its own, written down so that every reader sees the same one."""
-    return materialise(packed(docs).withColumn("rid", F.monotonically_increasing_id()), "keyed")
+    return materialise(packed(spread(docs)).withColumn("rid", F.monotonically_increasing_id()), "keyed")
+
+
+#: Most bytes of row numbers that are broadcast, and what one takes in a hash set.
+BROADCAST_BYTES, ID_BYTES = 64 << 20, 64
+
+
+def without_rows(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``rows`` (row, rid) but those whose rid is in ``dropped`` (rid).
+
+    The dropped numbers are written and counted; up to BROADCAST_BYTES of them are broadcast, so that the kept rows
+    stay where they are. Beyond that the same join shuffles both sides by rid, where no key is hot.
+    """
+    dropped = materialise(dropped.select(F.col("rid").alias("gone")), "gone")
+    gone = F.broadcast(dropped) if dropped.count() * ID_BYTES <= BROADCAST_BYTES else dropped
+    return rows.join(gone, F.col("rid") == F.col("gone"), "left_anti")
 
 
 def inline_rows(spark, json_rows: str, schema: str) -> DataFrame:

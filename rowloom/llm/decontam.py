@@ -6,8 +6,8 @@ hashes come from array expressions, a bit table derived from the benchmark disca
 hash set and are verified word by word. Only candidates and one small row per document are shuffled, never texts.
 
 Defined results: null or empty text has no words and no hits; items without words have no windows; equal items all
-count; repeated rows are judged one by one (``drop_contaminated`` and ``remove_spans`` decide by doc_id, a null id
-being an id of its own; ``drop_contaminated_rows`` decides by row); empty tables give no rows or no hits. Only doc_id, text and item_id, text are read.
+count; repeated rows are judged one by one, whatever their ids; empty tables give no rows or no hits. Only doc_id, text
+and item_id, text are read.
 """
 
 from __future__ import annotations
@@ -17,13 +17,14 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, keyed, packed, spread
+from ..scratch import materialise
+from .common import ascii_lower, keyed, spread, without_rows
 from .windows import covered, with_window_hashes, words_of
 
 WIDTH = 10
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: The hash set is broadcast up to this many bytes of window text; beyond, the same join is left to shuffle.
+#: The hash set is broadcast up to this many bytes of window texts and item ids; beyond, the same join is left to shuffle.
 BROADCAST_BYTES = 64 << 20
 #: Bits in the table for each window, and most bits; a fuller table only lets more candidates through to the join.
 BITS_PER_WINDOW, MOST_BITS = 32, 1 << 20
@@ -70,8 +71,8 @@ def _bit_table(windows: DataFrame, n_windows: int) -> tuple[list[int], int]:
 
 def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted ids), hits (sorted, struct<at, width>): one row per document."""
-    windows = benchmark_windows(benchmark, width)
-    facts = windows.groupBy("width").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text") + 64).alias("b")).collect()
+    windows = materialise(benchmark_windows(benchmark, width), "windows")
+    facts = windows.groupBy("width").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text") + 64 + F.aggregate("items", F.lit(0), lambda n, x: n + F.octet_length(x) + 16)).alias("b")).collect()
     widths = sorted(r["width"] for r in facts) or [width]
     n_windows, n_bytes = sum(r["n"] for r in facts), sum(r["b"] for r in facts)
     bits, size = _bit_table(windows, n_windows)
@@ -96,31 +97,24 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame
     return out.select("doc_id", "n_words", covered(F.col("hits")).alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("sets"))).alias("items"), "hits")
 
 
-def _flagged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    found = scan(docs, benchmark).where("n_hit > 0")
-    return found.groupBy(F.col("doc_id").alias("__fid")).agg(F.flatten(F.collect_list("hits")).alias("__hits"))
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark window."""
-    flagged = _flagged(docs, benchmark).select("__fid")
-    rows = packed(docs)
-    return rows.join(flagged, F.col("row.doc_id").eqNullSafe(F.col("__fid")), "left_anti").select("row.*")
+def _hits(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(hit, hits) of the rows (row, rid) with a benchmark window."""
+    found = scan(rows.select(F.col("rid").alias("doc_id"), F.col("row.text").alias("text")), benchmark)
+    return found.where("n_hit > 0").select(F.col("doc_id").alias("hit"), "hits")
 
 
 def drop_contaminated_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that hold a benchmark window; null and repeated ids take no other row along."""
     rows = keyed(docs)
-    found = scan(rows.select(F.col("rid").alias("doc_id"), F.col("row.text").alias("text")), benchmark).where("n_hit > 0")
-    return rows.join(found.select(F.col("doc_id").alias("hit")), F.col("rid") == F.col("hit"), "left_anti").select("row.*")
+    return without_rows(rows, _hits(rows, benchmark).select(F.col("hit").alias("rid"))).select("row.*")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` with every hit word, and what separates it from the next word, cut out of ``text``."""
-    names = docs.columns
-    rows = packed(docs).join(_flagged(docs, benchmark), F.col("row.doc_id").eqNullSafe(F.col("__fid")), "left")
+    names, rows = docs.columns, keyed(docs)
+    rows = rows.join(_hits(rows, benchmark), F.col("rid") == F.col("hit"), "left")
     text = F.col("row.text")
-    rows = rows.withColumn("__gaps", F.when(F.col("__hits").isNotNull(), F.split(text, WORD))).withColumn("__words", F.when(F.col("__hits").isNotNull(), F.regexp_extract_all(text, F.lit(WORD), F.lit(0))))
-    dead = lambda i: F.exists("__hits", lambda x: (i >= x["at"]) & (i < x["at"] + x["width"]))
+    rows = rows.withColumn("__gaps", F.when(F.col("hits").isNotNull(), F.split(text, WORD))).withColumn("__words", F.when(F.col("hits").isNotNull(), F.regexp_extract_all(text, F.lit(WORD), F.lit(0))))
+    dead = lambda i: F.exists("hits", lambda x: (i >= x["at"]) & (i < x["at"] + x["width"]))
     left = F.concat(F.get("__gaps", F.lit(0)), F.array_join(F.transform("__words", lambda w, i: F.when(dead(i), F.lit("")).otherwise(F.concat(w, F.get("__gaps", i + 1)))), ""))
     return rows.select(*[F.coalesce(left, text).alias("text") if c == "text" else F.col("row")[c].alias(c) for c in names])

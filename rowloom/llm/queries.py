@@ -89,7 +89,7 @@ def op7_bk_tree_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
     out = near_duplicates(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 def op8_tree_scored_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,20 +80,31 @@ def mix(h, k):
     return x ^ x >> 31
 
 
-def linked(a, b, radius):
-    """Within the radius, and equal on two of the blocks of 13, 13, 13, 13 and 12 bits."""
-    d = a ^ b
-    return d.bit_count() <= radius and sum(not d >> at & (1 << n) - 1 for at, n in zip((0, 13, 26, 39, 52), (13, 13, 13, 13, 12))) >= 2
+def shingles(text, width):
+    w = re.findall(r"[^\x20\x09-\x0D]+", low(text or ""))
+    return [" ".join(w[j : j + width]) for j in range(len(w) - width + 1)] if len(w) >= width else [" ".join(w)] if w else []
 
 
-def simhash(docs, width=3, radius=3, n=1):
-    """[(doc_id, fingerprint hex, component)]."""
-    prints = []
-    for _, t in docs:
-        w = re.findall(r"[^\x20\x09-\x0D]+", low(t or ""))
-        s = [" ".join(w[j : j + width]) for j in range(len(w) - width + 1)] if len(w) >= width else [" ".join(w)] if w else []
-        h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
-        prints.append([sum(1 << b for b in range(64) if 2 * sum(mix(x, k) >> b & 1 for x in h) > len(h)) for k in range(n)])
+def jaccard(a, b, width=5):
+    a, b = set(shingles(a, width)), set(shingles(b, width))
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def print_of(text, width, words):
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in shingles(text, width)]
+    out = 0
+    for k in range(words):
+        m = [mix(x, k) for x in h]
+        out |= sum(1 << 64 * k + b for b in range(64) if 2 * sum(x >> b & 1 for x in m) > len(h))
+    return out
+
+
+def wide_print(text):
+    return print_of(text, 5, 8)
+
+
+def roots(prints, radius):
+    """The first index of each print's component."""
     label = list(range(len(prints)))
 
     def root(x):
@@ -103,14 +114,29 @@ def simhash(docs, width=3, radius=3, n=1):
 
     for a in range(len(prints)):
         for b in range(a):
-            if any((x ^ y).bit_count() <= radius if radius <= 3 else linked(x, y, radius) for x, y in zip(prints[a], prints[b])):
+            if (prints[a] ^ prints[b]).bit_count() <= radius:
                 x, y = root(a), root(b)
                 label[max(x, y)] = min(x, y)
-    best = {}
-    for a, (i, _) in enumerate(docs):
+    return [root(a) for a in range(len(prints))]
+
+
+def simhash(docs, width=3, radius=3):
+    """[(doc_id, fingerprint hex, component)]."""
+    prints = [print_of(t, width, 1) for _, t in docs]
+    root, best = roots(prints, radius), {}
+    for r, (i, _) in zip(root, docs):
         if i is not None:
-            best[root(a)] = min(best.get(root(a), i), i)
-    return [(i, f"{p[0]:016x}", best.get(root(a))) for a, ((i, _), p) in enumerate(zip(docs, prints))]
+            best[r] = min(best.get(r, i), i)
+    return [(i, f"{p:016x}", best.get(r)) for (i, _), p, r in zip(docs, prints, root)]
+
+
+def one_of_each(docs):
+    """The rows that stay: the smallest id of each class of wide prints, nulls last, the earlier row among equals."""
+    first = {}
+    for at, (r, (i, t)) in enumerate(zip(roots([wide_print(t) for _, t in docs], 94), docs)):
+        own = (i is None, i or 0, at, t)
+        first[r] = min(first.get(r, own), own)
+    return [(None if unnamed else i, t) for unnamed, i, _, t in first.values()]
 
 
 def personal(text):

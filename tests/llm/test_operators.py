@@ -51,17 +51,18 @@ def test_line_dedup(docs, nothing):
     same(table(got, "*"), brute.lines(texts()))
     assert linededup.dedup_lines(nothing).isEmpty()
     out = linededup.deduplicated(docs)
+    assert linededup.deduplicated(nothing).isEmpty()
     assert out.columns == docs.columns and out.count() == docs.count() and out.where("kept = 'kept'").count() == docs.count()
 
 
 def test_line_runs_compact_and_admit(spark):
-    batches = [[(1, "a" * 30), (2, "b" * 30)], [(3, "a" * 30), (4, "c" * 30)], [(5, "c" * 30), (6, "d" * 30)], [(7, "e" * 30)]]
+    batches = [[(7, "a" * 30), (6, "b" * 30)], [(5, "a" * 30), (5, "c" * 30), (4, "c" * 30), (4, "d" * 30)], [(3, "c" * 30), (2, "e" * 30)], [(1, "f" * 30)]]
     runs, fresh = linededup.LineRuns(spark, fanout=2), []
     for b in batches:
-        fresh.append(sorted(r[0] for r in runs.admit(linededup.line_keys(spark.createDataFrame(b, "doc_id long, text string"))).select("doc_id").collect()))
-    assert fresh == [[1, 2], [4], [6], [7]]
+        fresh.append(sorted(r[0] for r in runs.admit(linededup.line_keys(spark.createDataFrame([(0, *x) for x in b], "rid long, doc_id long, text string"))).select("keeper").collect()))
+    assert fresh == [[6, 7], [4, 5], [2], [1]]
     assert [len(x) for x in runs.levels] == [0, 0, 1]
-    assert sorted((r["n_docs"], r["keeper"]) for r in runs.entries().collect()) == [(1, 2), (1, 6), (1, 7), (2, 3), (2, 5)]
+    assert sorted(r["n_docs"] for r in runs.entries().collect()) == [1, 1, 1, 1, 2, 3]
 
 
 def test_decontamination(spark, docs, nothing):
@@ -71,13 +72,13 @@ def test_decontamination(spark, docs, nothing):
     assert decontam.scan(nothing, bench).isEmpty()
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontam.scan(docs, empty).where("n_hit > 0").isEmpty() and decontam.scan(docs, empty).count() == docs.count()
-    hit = {i for i, _, n, _ in brute.contamination(texts(), BENCH) if n}
-    left = decontam.drop_contaminated(docs, bench)
-    assert left.columns == docs.columns
-    same(table(left, "doc_id", "text"), [r for r in texts() if r[0] not in hit])
+    clean = [r for r, (_, _, n, _) in zip(texts(), brute.contamination(texts(), BENCH)) if not n]
+    left = decontam.drop_contaminated_rows(docs, bench)
+    assert left.columns == docs.columns and decontam.drop_contaminated_rows(nothing, bench).isEmpty()
+    same(table(left, "doc_id", "text"), clean)
     cut = decontam.remove_spans(docs, bench)
     assert dict(table(cut.where("doc_id = 13"), "doc_id", "text")) == {13: "a and "} and cut.columns == docs.columns
-    assert decontam.scan(cut.where("doc_id <> 12"), bench).where("n_hit > 0").isEmpty()
+    assert decontam.scan(cut, bench).where("n_hit > 0").isEmpty()
 
 
 def test_shuffled_window_join_gives_the_same(spark, docs, monkeypatch):
@@ -148,58 +149,114 @@ def test_sharding(spark, docs, nothing, tmp_path):
 
 
 def test_simhash(docs, nothing):
-    got = simhash.near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")), "component_id")
+    got = simhash.near_duplicates(docs).select("doc_id", F.lower(F.hex("fp")), "component_id")
     same(table(got, "*"), brute.simhash(texts()))
     assert simhash.near_duplicates(nothing).isEmpty()
-    kept = simhash.one_of_each(docs)
-    assert kept.columns == docs.columns
-    firsts = {c for _, _, c in brute.simhash(texts(), radius=5, n=6)}
-    ids = [r[0] for r in kept.select("doc_id").collect()]
-    assert sorted(i for i in ids if i is not None) == sorted(firsts - {None}) and ids.count(None) == 2
 
 
-def test_large_near_group_is_split(spark, monkeypatch):
-    """Chains and dense balls of fingerprints: classes must not depend on how trees are cut."""
+def test_one_row_of_each(spark, docs, nothing):
+    kept = simhash.one_row_of_each(docs)
+    assert kept.columns == docs.columns and simhash.one_row_of_each(nothing).isEmpty()
+    same(table(kept, "doc_id", "text"), brute.one_of_each(texts()))
+
+
+def test_near_copies_by_shared_shingles():
+    """Plain 5-word Jaccard similarity: texts of 0.8 and more are within the radius and share a key, those below 0.6 are not within it."""
+    rng = random.Random(11)
+    near, within, far = 0, 0, 0
+    vocabulary = [f"w{k}" for k in range(5000)]
+    for _ in range(240):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(60, 240))]
+        other = list(words)
+        for at in rng.sample(range(len(words)), max(1, int(len(words) * rng.choice([0.01, 0.015, 0.02, 0.06, 0.1])))):
+            other[at] = rng.choice(vocabulary)
+        similarity = brute.jaccard(" ".join(words), " ".join(other))
+        a, b = (brute.wide_print(" ".join(x)) for x in (words, other))
+        if similarity >= 0.8:
+            near += 1
+            within += (a ^ b).bit_count() <= simhash.WIDE_RADIUS and any(all(not (a ^ b) >> int(k) & 1 for k in t) for t in simhash.random_tables(100_000))
+        elif similarity < 0.6:
+            far += 1
+            assert (a ^ b).bit_count() > simhash.WIDE_RADIUS
+    assert near > 60 and far > 40 and within >= 0.95 * near
+
+
+def test_three_bits_leave_a_block_equal():
+    for n in (0, 1, 10_000, 10**9, 10**12):
+        tables = simhash.exact_tables(n)
+        assert len(tables) == 4 and len({int(k) for t in tables for k in t}) == sum(map(len, tables))
+
+
+def _roots(v, radius):
     import numpy as np
 
-    rng = np.random.default_rng(3)
-    center = rng.integers(-(2**63), 2**63, 6)
-    prints = set()
-    for c in center:
-        for _ in range(300):
-            x = int(c)
-            for b in rng.choice(64, rng.integers(0, 5), replace=False):
-                x ^= 1 << int(b)
-            prints.add(((x + 2**63) % 2**64) - 2**63)
-    values = sorted(prints)
-    df = spark.createDataFrame([(i, v, []) for i, v in enumerate(values)], "doc_id long, fp long, more array<long>")
-    label = list(range(len(values)))
+    label = list(range(len(v)))
 
     def root(x):
         while label[x] != x:
             x = label[x]
         return x
 
-    v = np.array(values, np.int64).view(np.uint64)
     for a in range(len(v)):
-        for b in np.flatnonzero(np.bitwise_count(v[:a] ^ v[a]) <= 3):
+        for b in np.flatnonzero(np.bitwise_count(v[:a] ^ v[a]).sum(axis=1) <= radius):
             x, y = root(a), root(int(b))
             label[max(x, y)] = min(x, y)
-    want = {i: root(i) for i in range(len(v))}
-    for size in (4096, 50):
-        monkeypatch.setattr(simhash, "TREE_SIZE", size)
-        assert {r[0]: r[1] for r in simhash.classes(df).select("doc_id", "component_id").collect()} == want
+    return [root(x) for x in range(len(v))]
+
+
+def _balls(rng, words, n_balls=6, size=300, flips=5):
+    import numpy as np
+
+    out = []
+    for _ in range(n_balls):
+        center = np.unpackbits(rng.integers(0, 256, 8 * words).astype(np.uint8))
+        for _ in range(size):
+            x = center.copy()
+            x[rng.choice(64 * words, rng.integers(0, flips), replace=False)] ^= 1
+            out.append(np.packbits(x).view(np.uint64))
+    return np.unique(np.array(out), axis=0)
+
 
+@pytest.mark.parametrize("tree_size", [16384, 50])
+def test_classes_do_not_depend_on_how_shards_are_cut(spark, monkeypatch, tree_size):
+    """Chains and dense balls of fingerprints."""
+    import numpy as np
+
+    v = _balls(np.random.default_rng(3), 1)
+    df = spark.createDataFrame([(i, i, bytearray(x.tobytes())) for i, x in enumerate(v)], "rid long, doc_id long, fp binary")
+    monkeypatch.setattr(simhash, "TREE_SIZE", tree_size)
+    monkeypatch.setattr(simhash, "SHARD", 16)
+    assert {r[0]: r[1] for r in simhash.classes(df).select("doc_id", "first.doc_id").collect()} == dict(enumerate(_roots(v, 3)))
+
+
+@pytest.mark.parametrize("words, radius, flips", [(1, 3, 5), (8, 94, 60)])
+def test_spanning_links_keep_components(words, radius, flips):
+    import numpy as np
 
-def test_bk_tree_finds_all_within_radius():
+    v = _balls(np.random.default_rng(4), words, 4, 200, flips)
+    a, b = simhash.spanning_links(v, radius)
+    assert (np.bitwise_count(v[a] ^ v[b]).sum(axis=1) <= radius).all() and len(a) < 4 * len(v)
+    label = list(range(len(v)))
+    for _ in range(len(v)):
+        before = list(label)
+        for x, y in zip(a.tolist(), b.tolist()):
+            label[x] = label[y] = min(label[x], label[y])
+        if label == before:
+            break
+    assert label == _roots(v, radius)
+
+
+def test_bk_tree_prunes_and_finds_all_within_radius():
+    """A search compares only part of a shard's fingerprints and misses none within the radius."""
     import numpy as np
 
     rng = np.random.default_rng(1)
-    values = np.unique(rng.integers(0, 2**12, 800).astype(np.uint64))
-    tree = simhash.BKTree(values)
-    for q in values[:40]:
-        got = np.sort(tree.search(np.array([q]), np.ones(len(values), bool)))
-        assert (got == np.flatnonzero(np.bitwise_count(values ^ q) <= 3)).all()
+    values = np.unique(np.concatenate([rng.integers(0, 2**64, 700, dtype=np.uint64), rng.integers(0, 2**12, 100).astype(np.uint64)]))[:, None]
+    tree, every = simhash.BKTree(values), np.arange(len(values))
+    best, degree = tree.nearest_label(every, every, 3)
+    apart = np.bitwise_count(values ^ values[:, 0]).astype(int)
+    assert (best == (apart <= 3).argmax(axis=1)).all() and (degree == (apart <= 3).sum(axis=1)).all()
+    assert isinstance(tree.root, tuple) and tree.visited < 0.5 * len(values) ** 2
 
 
 def test_personal_data(docs, nothing):
