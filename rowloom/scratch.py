@@ -30,10 +30,15 @@ def scratch_root(spark: SparkSession) -> str:
     return _LOCAL
 
 
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A path under the shared folder that nothing uses yet."""
+    return f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back: later failures restart from there."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, label)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._rowloom_path = path
