@@ -7,7 +7,7 @@ then gets text that needs no normalising, and each of its pieces is projected th
 original UTF-8 bytes.
 
 Defined results: null is encoded as the empty text (no pieces, decoded to the empty text); invalid bytes cannot occur
-in a string column, lone surrogates become U+FFFD; repeated rows are encoded each; an empty table gives no rows; the
+in a string column, a lone surrogate becomes a question mark; repeated rows are encoded each; an empty table gives no rows; the
 piece before the text (dummy prefix) has an empty span. Texts are cut into batches by bytes, never cut themselves.
 Only doc_id and text are read.
 """
@@ -77,10 +77,14 @@ class Normaliser:
             out.units, out.strings = np.frombuffer(blob, "<u4", size // 4, 4), blob[4 + size :]
         return out
 
-    @property
-    def plain(self) -> bool:
-        """Nothing but blanks changes."""
-        return self.units is None and not self.squeeze and self.escape and not self.verbatim
+    def _blanks_only(self, data: bytes) -> tuple[bytes, np.ndarray]:
+        """The whole text at once under rules that change blanks and nothing else."""
+        space = _META if self.escape else b" "
+        width = np.where(np.frombuffer(data, np.uint8) == 32, len(space), 1)
+        source = np.repeat(np.arange(len(data)), width)
+        if self.dummy_prefix:
+            source = np.concatenate([np.zeros(len(space), np.int64), source])
+        return (space if self.dummy_prefix else b"") + data.replace(b" ", space), np.append(source, len(data))
 
     def _mapped(self, data: bytes, at: int) -> tuple[bytes, int] | None:
         """Longest entry of the character map at ``at``: a double-array trie walked byte by byte."""
@@ -117,6 +121,8 @@ class Normaliser:
         out, source, at = bytearray(), [], 0
         if not data:
             return b"", np.zeros(1, np.int64)
+        if self.units is None and not self.squeeze and not self.verbatim:
+            return self._blanks_only(data)
         space = _META if self.escape else b" "
         if self.squeeze:
             while at < len(data) and (step := self._step(data, at))[0] == b" ":
@@ -159,30 +165,18 @@ class PieceCodec:
             if number == 1:
                 pieces.append(dict(_fields(value)))
             elif number == 3:
-                spec = value
+                spec += value  # repeated messages merge
         kinds = [p.get(3, NORMAL) for p in pieces]
         raw = [p.get(1, b"") for p in pieces]
         self.unknown = kinds.index(UNKNOWN)
         self.normalise = Normaliser.of_spec(spec, [r for r, k in zip(raw, kinds) if k == USER_DEFINED])
-        #: Bytes of each piece in normalised text, and in a source whose blanks alone are escaped.
+        #: Bytes of each piece in normalised text.
         self.width = np.array([1 if k == BYTE else len(r) for r, k in zip(raw, kinds)], np.int64)
-        self.source_width = np.array([1 if k == BYTE else len(r) - 2 * r.count(_META) for r, k in zip(raw, kinds)], np.int64)
         self.engine = sentencepiece.SentencePieceProcessor(model_proto=model + _IDENTITY)
         self.decoder = sentencepiece.SentencePieceProcessor(model_proto=model)
 
-    def _prepared(self, text: str) -> tuple[str, np.ndarray | None]:
-        """Normalised text and its source record; None where the record is implied by the pieces."""
-        if not text:
-            return "", None
-        if self.normalise.plain and META not in text:
-            return (META if self.normalise.dummy_prefix else "") + text.replace(" ", META), None
-        data, source = self.normalise(text.encode())
-        return data.decode(), source
-
-    def _spans(self, ids: np.ndarray, norm: str, source: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        if source is None and self.normalise.plain:
-            ends = np.cumsum(self.source_width[ids]) - (1 if self.normalise.dummy_prefix else 0)
-            return np.concatenate([[0], ends[:-1]])[: len(ids)], ends
+    def _spans(self, ids: np.ndarray, norm: str, source: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Source bytes of each piece: its bytes in the normalised text, looked up in the record."""
         if (ids == self.unknown).any():
             widths = np.array([len(p.surface.encode()) for p in self.engine.encode(norm, out_type="proto").pieces], np.int64)
         else:
@@ -193,7 +187,7 @@ class PieceCodec:
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(ids, first source byte, source byte after the last) for each text."""
         texts = [(t or "").encode("utf-8", "replace").decode() if t and not t.isascii() else t or "" for t in texts]
-        ready = [self._prepared(t) for t in texts]
+        ready = [(data.decode(), source) for data, source in map(self.normalise, map(str.encode, texts))]
         found = self.engine.encode([norm for norm, _ in ready], out_type="numpy", num_threads=1)
         out = []
         for ids, (norm, source) in zip(found, ready):

@@ -55,9 +55,9 @@ def op1_piece_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import encode_documents
 
     out = encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
-    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
+    joined = lambda c: F.sha2(F.array_join(F.col(c).cast("array<string>"), ","), 256)
     return out.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.coalesce(F.get("ends", F.size("ends") - 1), F.lit(0)).cast("long").alias("end_byte")
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), joined("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), joined("starts").alias("starts_sha256"), joined("ends").alias("ends_sha256")
     )
 
 

@@ -45,6 +45,68 @@ def test_codec(library):
             assert b"".join(data[s:e] for s, e in zip(starts, ends)) == data
 
 
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf"])
+def test_codec_of_a_model_with_a_character_map(rule):
+    """The model's pieces under another normaliser: ids as the library's, spans that cover the source in order."""
+    spec = next(v for k, v in pieces._fields(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto()) if k == 3)
+    size, more = len(spec), bytearray()
+    while size > 127:
+        more.append(size & 127 | 128)
+        size >>= 7
+    model = open(MODEL, "rb").read() + bytes([0x1A]) + bytes(more) + bytes([size]) + spec
+    known, codec = sentencepiece.SentencePieceProcessor(model_proto=model), pieces.PieceCodec(model)
+    assert codec.normalise.units is not None
+    samples = ["ﬁne ① ㌔ ｶﾞ  double", "Ｆｕｌｌ　ｗｉｄｔｈ", "plain words only", " lead and tail ", "½ cup … É e\u0301"] + [t for _, t in texts() if t and len(t) < 5000]
+    for text, (ids, starts, ends) in zip(samples, codec.encode(samples)):
+        data = text.encode()
+        assert ids.tolist() == known.encode(text)
+        assert len(ids) == 0 or ends[-1] <= len(data) and (starts <= ends).all() and (starts[1:] >= starts[:-1]).all() and (starts[1:] <= ends[1:]).all()
+    (ids, starts, ends), text = codec.encode(["x ﬁ y"])[0], "x ﬁ y".encode()
+    assert any("ﬁ" in text[s:e].decode("utf-8", "replace") for s, e in zip(starts, ends))
+
+
+class PlainArticle(__import__("html.parser").parser.HTMLParser):
+    """A second extractor for pages that mark their article: its text, cut at block elements, without what is never text."""
+
+    CUTS = set("p h1 h2 h3 ul ol li div section article blockquote pre table tr td".split())
+    NEVER = {"script", "style"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.hidden, self.blocks = 0, 0, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        self.hidden += tag in self.NEVER
+        if tag in self.CUTS:
+            self.blocks.append("")
+        elif tag == "br":
+            self.blocks[-1] += " "
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        self.hidden -= tag in self.NEVER
+        if tag in self.CUTS:
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside and not self.hidden:
+            self.blocks[-1] += data
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_whole_table_against_a_plain_extractor(spark, sf):
+    from rowloom.llm import queries
+
+    want = {}
+    for r in spark.read.parquet(f"/root/testdata/{sf}/pages.parquet").select("page_id", "html").collect():
+        plain = PlainArticle()
+        plain.feed(r["html"] or "")
+        want[r["page_id"]] = "\n".join(b for x in plain.blocks if (b := " ".join(x.split())))
+    got = {r["page_id"]: r["text"] for r in queries.op8_tree_scored_text(spark, f"/root/testdata/{sf}").collect()}
+    assert got == want
+
+
 def test_encode_documents(spark, library):
     rows = [(i, t, 7) for i, t in texts()]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids int")
@@ -60,7 +122,27 @@ text here.<div class="ad">Buy, this, now, and save money today folks</div><p>Sec
 
 
 def test_main_text():
-    assert pagetext.main_text(PAGE) == "Title\nFirst paragraph, which is long, with commas, and more text here.\nSecond & last <paragraph>\nline two, with a link inside.\nitem one\nitem two"
+    assert pagetext.main_text(PAGE) == "Title\nFirst paragraph, which is long, with commas, and more text here.\nSecond & last <paragraph> line two, with a link inside.\nitem one\nitem two"
+
+
+PROSE = "This is a sentence of the article, with commas, that goes on for some time, and ends here."
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<form action=x><div><p>{PROSE}</p><p>{PROSE}</p><input value=z><button>Send</button></div></form>", f"{PROSE}\n{PROSE}"),
+        (f"<div><p>{PROSE}</p><form><p>Your name, please</p></form></div>", PROSE),
+        *[(f"<div id=a><p>{PROSE}</p></div><div class='{c}'><p>{PROSE} Not this.</p></div>", PROSE) for c in ("sidebar-content", "comment-content", "cookie-text", "sidebar content", "reader-comments")],
+        *[(f"<div class='{c}'><p>{PROSE}</p></div>", PROSE) for c in ("post share-enabled", "content has-sidebar", "with-sidebar", "story")],
+        (f"<div><section><div><p>{PROSE}</p><p>{PROSE} One.</p></div></section><nav><a href=x>n</a></nav><section><div><p>{PROSE} Two.</p><p>{PROSE}</p></div></section></div>", f"{PROSE}\n{PROSE} One.\n{PROSE} Two.\n{PROSE}"),
+        (f"<article><header><h1>Title</h1></header><p>{PROSE}</p></article>", f"Title\n{PROSE}"),
+        (f"<header><h1>Site</h1></header><main><header><h1>Title</h1></header><p>{PROSE}</p></main>", f"Title\n{PROSE}"),
+        (f"<p>Before <img src=x.png alt=y> after, <x-note>and more</x-note>, {PROSE}<br/>End</p>", f"Before after, and more, {PROSE} End"),
+    ],
+)
+def test_boilerplate_and_containers(page, text):
+    assert pagetext.main_text(f"<html><body>{page}</body></html>") == text
 
 
 @pytest.mark.parametrize("page, text", [(None, ""), ("", ""), (" ", ""), ("<p>", ""), ("<", "<"), ("a<b>c", "ac"), ("<div", ""), ("<script>x", ""), ("<p>short</p>", "short"), ("no tags &eacute;", "no tags é"), ("<!-- x", ""), ("a</p></div>b", "ab")])
