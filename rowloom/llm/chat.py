@@ -6,12 +6,16 @@ ordered placeholder, a reference in ``attachments`` and the number of tokens tha
     <|im_start|>ROLE\nCONTENT<|im_end|>\n
 
 and ``\``, ``<|`` (and, in roles, newlines) are escaped in roles and texts, so control strings that a user types are
-ordinary text and the original comes back exactly. The loss mask covers the escaped content of assistant turns.
+ordinary text and the original comes back exactly. The loss mask covers the escaped texts of assistant turns.
 
 A conversation is one row of the result, so its turns meet in one task at last: as one row from each task that held
 some of them, already rendered. Nothing else is gathered.
 
-Defined results: null text, role or parts: empty; a null turn sorts first; equal turns are ordered by role, then
+A segment is a piece of the formatted text that is under the loss mask or not: turn marks and placeholders are segments
+of their own without loss, the texts of an assistant turn have it.
+
+Defined results: null text, role, parts or part: empty; a kind other than text, image, audio and document is an error
+that names it, since nothing says what it stands for; a null turn sorts first; equal turns are ordered by role, then
 content; a null conversation id is a conversation of its own; repeated rows stay; an empty table gives no rows. Other
 columns are not read.
 """
@@ -46,10 +50,17 @@ def text_part(text: Column) -> Column:
     return F.array(F.struct(F.lit("text").alias("kind"), text.alias("text"), F.lit(None).cast("string").alias("uri"), F.lit(None).cast("int").alias("n_tokens")))
 
 
-def _visit(part: Column) -> Column:
-    """What a part adds to the formatted turn. Placeholders hold the kind only: order ties them to attachments."""
+def _kind(part: Column) -> Column:
+    """One of the four kinds (null: text). Kinds are written into the output as they are, so others must not pass."""
     kind = F.coalesce(part["kind"], F.lit("text"))
-    return F.when(kind == "text", escape(F.coalesce(part["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), kind, F.lit("_pad|>")))
+    return F.when(kind.isin("text", *EXPANDED_TOKENS), kind).otherwise(F.raise_error(F.concat(F.lit("unknown kind of part: "), kind)))
+
+
+def _visit(part: Column) -> Column:
+    """(kind, text) that a part adds to the formatted turn. Placeholders hold the kind only: order ties them to attachments."""
+    kind = _kind(part)
+    text = F.when(kind == "text", escape(F.coalesce(part["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), kind, F.lit("_pad|>")))
+    return F.struct(kind.alias("kind"), text.alias("text"))
 
 
 def _reference(part: Column, turn: Column) -> Column:
@@ -69,8 +80,8 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     rendered = turns.select(
         turns["conv_id"].alias("conv_id"),
         F.struct(
-            turns["turn"].alias("turn"), role.alias("role"), F.array_join(F.transform(parts, _visit), "").alias("content"),
-            F.transform(F.filter(parts, lambda p: p["kind"] != "text"), lambda p: _reference(p, turns["turn"])).alias("refs"),
+            turns["turn"].alias("turn"), role.alias("role"), F.transform(parts, _visit).alias("content"),
+            F.transform(F.filter(parts, lambda p: p["kind"].isin(*EXPANDED_TOKENS)), lambda p: _reference(p, turns["turn"])).alias("refs"),
         ).alias("t"),
     )
     threads = rendered.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
@@ -78,7 +89,11 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     segments = F.flatten(
         F.transform(
             "ts",
-            lambda t: F.array(seg(F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n")), F.lit(False)), seg(t["content"], t["role"] == "assistant"), seg(F.lit(END), F.lit(False))),
+            lambda t: F.concat(
+                F.array(seg(F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n")), F.lit(False))),
+                F.transform(t["content"], lambda c: seg(c["text"], (t["role"] == "assistant") & (c["kind"] == "text"))),
+                F.array(seg(F.lit(END), F.lit(False))),
+            ),
         )
     )
     refs = F.flatten(F.transform("ts", lambda t: t["refs"]))
