@@ -1,8 +1,10 @@
 """Sharding over fixed virtual slots.
 
-A record's hash names one of ``n_slots`` virtual slots for good. Bytes and rows are summed per slot (a few thousand
-rows whatever the input), and a versioned slot-to-shard map sends slots to shards. Rebalancing edits the map: it
-moves whole slots and writes the next version; records never change their slot.
+A record's hash (of its doc_id and its text's CRC) names one of ``n_slots`` virtual slots. Bytes and rows are summed
+per slot (a few thousand rows whatever the input), and a versioned slot-to-shard map sends slots to shards. Rebalancing
+edits the map: it moves whole slots and stores the next version. A record keeps its slot as long as its text stays; an
+edited text is a new record. ``shard_by_bytes`` stores the first version, reads it back, edits it where a shard is too
+heavy, and places all records by what the store then holds.
 
 Defined results: a null text has no bytes (size 1, the CRC of the empty string); a null ``doc_id`` hashes like any
 value, with the text's CRC; repeated rows are placed one by one and get consecutive positions; an empty table gives
@@ -18,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..scratch import fresh_path
 from .common import inline_rows
 
 N_SLOTS = 4096
@@ -101,15 +104,26 @@ def map_table(spark: SparkSession, entries: list[dict]) -> DataFrame:
 
 
 def store_map(spark: SparkSession, entries: list[dict], path: str) -> None:
-    """Add one version to the map at ``path``; earlier versions stay."""
-    map_table(spark, entries).coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+    """Add one version to the map at ``path``; earlier versions stay.
+
+    A version is a folder of its own that must not exist yet, so a second editor of the same version fails.
+    """
+    version = entries[0]["version"]
+    map_table(spark, entries).drop("version").coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={version}")
+
+
+def stored_map(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` holds a map."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> list[dict]:
     """A stored version, the latest by default: at most ``n_slots`` entries."""
     table = spark.read.parquet(path)
     version = table.agg(F.max("version")).first()[0] if version is None else version
-    return [{k: int(r[k]) for k in ("version", "slot", "shard", "bytes", "rows", "first_row")} for r in table.where(F.col("version") == version).collect()]
+    rows = table.where(F.col("version") == version).orderBy("slot").collect()
+    return [{k: int(r[k]) for k in ("version", "slot", "shard", "bytes", "rows", "first_row")} for r in rows]
 
 
 def place(records: DataFrame, entries: list[dict]) -> DataFrame:
@@ -127,10 +141,29 @@ def place(records: DataFrame, entries: list[dict]) -> DataFrame:
     )
 
 
-def shard_by_bytes(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS) -> DataFrame:
-    """Records with shard, position in the shard (``slot``) and virtual slot; shards have near-equal bytes."""
-    records = measured(docs, n_slots)
-    return place(records, first_map(slot_loads(records), n_shards))
+def current_map(spark: SparkSession, loads: list[tuple[int, int, int]], n_shards: int, path: str) -> list[dict]:
+    """The map at ``path`` brought up to date with ``loads``: started where there are no slots yet, else edited; a
+    version is stored only when a slot moves, appears or holds other rows."""
+    if not stored_map(spark, path):
+        store_map(spark, first_map(loads, n_shards), path)
+    held = load_map(spark, path)
+    edited = rebalance(held, loads, n_shards)
+    facts = lambda entries: [(e["slot"], e["shard"], e["rows"], e["bytes"]) for e in entries]
+    if facts(edited) != facts(held):
+        store_map(spark, edited, path)
+    return load_map(spark, path)
+
+
+def shard_by_bytes(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, path: str | None = None) -> DataFrame:
+    """Records with shard, position in the shard (``slot``) and virtual slot; shards have near-equal bytes.
+
+    The map is stored at ``path``, by default in a new folder of the shared one.
+    """
+    spark, records = docs.sparkSession, measured(docs, n_slots)
+    loads = slot_loads(records)
+    if not loads:
+        return place(records, [])
+    return place(records, current_map(spark, loads, n_shards, path or fresh_path(spark, "slot-map")))
 
 
 def write_shards(docs: DataFrame, entries: list[dict], path: str, n_slots: int = N_SLOTS) -> None:
