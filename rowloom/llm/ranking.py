@@ -96,13 +96,26 @@ def fit(good: np.ndarray, bad: np.ndarray) -> tuple[np.ndarray, float]:
     return w, -float(cuts[best[len(best) // 2]])
 
 
+def _sample(rows: DataFrame, n: int, most: int) -> np.ndarray:
+    """Vectors of the ``most`` rows with the smallest hashes ``o``.
+
+    Hashes are uniform, so a threshold on them leaves little over ``most`` of the n rows before any are sorted: at
+    twice the share and 100 more, and that fewer than ``most`` are left is beyond chance (all n are kept when n is small).
+    """
+    share = (2 * most + 100) / max(n, 1)
+    if share < 1:
+        rows = rows.where(F.col("o") < F.lit(int(share * 2**64) - 2**63))
+    return np.array([r["x"] for r in rows.orderBy("o").limit(most).select("x").collect()])
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """doc_id, held_out, score, predicted, worth: one row per document."""
     rows = materialise(features(docs), "features")
     known = labels.where(labels["doc_id"].isNotNull() & labels["quality"].isin(0, 1)).groupBy(labels["doc_id"].cast("long").alias("lid")).agg(F.min("quality").alias("q"))
     known = known.where(~held_out(F.col("lid")))
     taught = rows.join(known, rows["doc_id"] == F.col("lid")).select("q", "x", F.xxhash64("doc_id").alias("o"))
-    sample = {q: np.array([r["x"] for r in taught.where(F.col("q") == q).orderBy("o").limit(max_labelled).select("x").collect()]) for q in (1, 0)}
+    sizes = {r["q"]: r["n"] for r in taught.groupBy("q").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sample = {q: _sample(taught.where(F.col("q") == q), sizes.get(q, 0), max_labelled) for q in (1, 0)}
     out = rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "x")
     if len(sample[0]) and len(sample[1]):
         w, offset = fit(sample[1], sample[0])
