@@ -1,17 +1,19 @@
 r"""Personal data: fixed patterns plus a character BiLSTM with CRF transitions.
 
 The patterns give the base spans (email, ip, card, phone); the tagger adds spans of the same kinds that the patterns
-miss, such as phone numbers without an international prefix. It is trained in numpy on the driver from labelled spans
-that ``labelled_windows`` writes (a fixed number of windows, a fixed seed: the weights never depend on the input).
+miss, such as phone numbers without an international prefix, and secrets (keys and access tokens), which no pattern
+covers. It is trained in numpy on the driver from labelled spans that ``labelled_windows`` writes (a fixed number of
+windows, a fixed seed: the weights never depend on the input).
 
-Texts are tagged in overlapping windows. Every window with a digit or ``@`` is tagged; the others cannot hold any of the
-four kinds, all of which need one. Where windows overlap their scores are averaged, each weighted towards its middle,
-and one Viterbi pass over each stretch of touching windows decides all of its characters together, so that spans that
-cross window borders come out whole. An added span must be likely (``LOG_ODDS`` against no span there), well-formed for its kind and clear
-of base spans, which always stay.
+Texts are tagged in overlapping windows. Every window with a digit or ``@`` is tagged; spans without either are not
+well-formed for any kind, so the other windows have nothing to give. Where windows overlap their scores are averaged,
+each weighted towards its middle, and one Viterbi pass over each stretch of touching windows decides all of its
+characters together, so that spans that cross window borders come out whole. An added span must be likely (``LOG_ODDS``
+against no span there), well-formed for its kind and clear of base spans, which always stay.
 
 Defined results: null and empty texts have no spans; repeated rows are tagged each; an empty table gives no rows;
-texts are read whole and memory follows one text's stretches. Only doc_id and text are read.
+texts are read whole. Scores are averaged as they come, ``TOGETHER`` windows at a time, so memory is 44 bytes for each
+character of the stretches at hand. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ from . import tagger
 from .common import spread, text_slices
 from .tagger import KINDS, STRIDE, WINDOW
 
-N_TRAINING, EPOCHS, SEED, LOG_ODDS = 4096, 6, 11, 3.0
+BASE_KINDS = KINDS[:4]
+N_TRAINING, EPOCHS, SEED, LOG_ODDS = 8192, 5, 11, 3.0
 #: Windows that are tagged at once.
 TOGETHER = 2048
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -77,6 +80,8 @@ def _well_formed(kind: str, text: str) -> bool:
         return re.fullmatch(r"[^\s@]+\s?@\s?[^\s@]+\.[^\s@]*[^\W\d_]", text) is not None
     if kind == "ip":
         return re.fullmatch(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", text) is not None and all(int(p) < 256 for p in text.split("."))
+    if kind == "secret":
+        return len(text) >= 16 and re.fullmatch(r"[A-Za-z0-9_+/=.-]+", text) is not None and re.search("[0-9]", text) is not None and re.search("[A-Za-z]", text) is not None
     if kind == "card":
         return 13 <= len(digits) <= 19 and luhn(digits) and re.fullmatch(r"[0-9 .-]+", text) is not None
     return 9 <= len(digits) <= 15 and re.fullmatch(r"[+(]?[0-9][0-9 ().-]*[0-9]", text) is not None and len(re.findall(r"[ ().-]+", text)) >= 2 and text.count("(") == text.count(")")
@@ -105,11 +110,20 @@ def labelled_windows(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         asc = lambda: re.sub("[^a-z]", "a", word())
         return f"{asc()}{pick(['', '.', '_', '-'])}{pick(['', asc(), number(2)])}{'x' * 0}@{asc()}{pick(['', '-' + asc()])}.{pick(['com', 'org', 'net', 'de', 'co.uk', 'example.com'])}"
 
-    makers = {"email": email, "ip": lambda: ".".join(str(x) for x in rng.integers(0, 256, 4)), "card": card, "phone": phone}
+    mixed = lambda alphabet, k: "".join(pick(alphabet) for _ in range(k))
+    hexa, capitals = "abcdef0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    every = capitals + capitals.lower()[:26]
+
+    def secret() -> str:
+        kind = rng.integers(6)
+        return [lambda: mixed(hexa, pick([32, 40, 40, 40, 64])), lambda: "sk_" + pick(["", "live_", "test_"]) + mixed(every, pick([24, 32])), lambda: "AKIA" + mixed(capitals, 16), lambda: "ghp_" + mixed(every, 36), lambda: mixed(every, pick([24, 32, 40, 48])), lambda: f"{mixed(every, 20)}.{mixed(every, 24)}"][kind]()
+
+    makers = {"email": email, "ip": lambda: ".".join(str(x) for x in rng.integers(0, 256, 4)), "card": card, "phone": phone, "secret": secret}
+    named = lambda: f"{pick(['token', 'key', 'api_key', 'password', 'secret', 'TOKEN', 'bearer'])}{pick([' = ', '=', ': ', ' '])}"
     look_alikes = [
         lambda: number(rng.integers(1, 5)), lambda: f"{rng.integers(1900, 2100)}-{rng.integers(10, 13)}-{rng.integers(10, 29)}", lambda: f"{number(2)}.{number(2)}.{number(4)}", lambda: f"{number(1)}.{number(1)}.{number(2)}", lambda: f"${number(3)}.{number(2)}",
-        lambda: f"#{number(6)}", lambda: f"{number(2)}:{number(2)}", lambda: f"@{word()}", lambda: "sk_" + "".join(pick("abcdef0123456789") for _ in range(24)), lambda: f"{number(3)},{number(3)},{number(3)}", lambda: number(rng.integers(8, 20)),
-        lambda: f"{number(2)}%", lambda: f"{word()}{number(2)}", lambda: f"{number(4)}-{number(2)}", lambda: f"AKIA{number(4)}{word().upper()}",
+        lambda: f"#{number(6)}", lambda: f"{number(2)}:{number(2)}", lambda: f"@{word()}", lambda: f"{word()}_{number(4)}", lambda: f"{number(3)},{number(3)},{number(3)}", lambda: number(rng.integers(8, 20)),
+        lambda: f"{number(2)}%", lambda: f"{word()}{number(2)}", lambda: f"{number(4)}-{number(2)}", lambda: f"{word().upper()}-{number(3)}", lambda: named() + word(), lambda: "".join(word() for _ in range(6)),
     ]
     chars, tags = np.zeros((n, WINDOW), np.int8), np.zeros((n, WINDOW), np.int8)
     for row in range(n):
@@ -119,7 +133,10 @@ def labelled_windows(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
             if what < 0.22:
                 kind = pick(KINDS)
                 piece = makers[kind]()
-                marks.append((KINDS.index(kind), len(text), len(text) + len(piece)))
+                before, quote = (named() if rng.random() < 0.6 else "", pick(["", '"', '"', "'"])) if kind == "secret" else ("", "")
+                at = len(text) + len(before) + len(quote)
+                marks.append((KINDS.index(kind), at, at + len(piece)))
+                piece = before + quote + piece + quote
             elif what < 0.4:
                 piece = pick(look_alikes)()
             else:
@@ -166,54 +183,55 @@ def _log_odds(p: dict, scores: np.ndarray, tags: np.ndarray, s: int, e: int) ->
     return float(odds)
 
 
-def _decoded(p: dict, text: str, starts: np.ndarray, runs: list[tuple[int, int]], scores: np.ndarray) -> list[tuple[str, int, int]]:
-    """Spans of one text from its windows' scores: overlaps averaged, each stretch decoded as a whole."""
-    found = []
-    for a, b in runs:
-        begin, end = starts[a], min(starts[b - 1] + WINDOW, len(text))
-        total, weight = np.zeros((end - begin, tagger.N_TAGS), np.float32), np.zeros((end - begin, 1), np.float32)
-        for w in range(a, b):
-            size = min(WINDOW, end - starts[w])
-            here = slice(starts[w] - begin, starts[w] - begin + size)
-            total[here] += scores[w, :size] * _WEIGHT[:size, None]
-            weight[here] += _WEIGHT[:size, None]
-        total /= weight
-        tags = tagger.best_tags(p, total)
-        for s in np.flatnonzero(tags % 2 == 1):
-            e = s + 1
-            while e < len(tags) and tags[e] == tags[s] + 1:
-                e += 1
-            if _log_odds(p, total, tags, s, e) >= LOG_ODDS:
-                found.append((KINDS[tags[s] // 2], int(begin + s), int(begin + e)))
+def _decoded(p: dict, begin: int, scores: np.ndarray) -> list[tuple[str, int, int]]:
+    """Spans of a stretch that starts at ``begin``, decoded as a whole from its averaged scores."""
+    found, tags = [], tagger.best_tags(p, scores)
+    for s in np.flatnonzero(tags % 2 == 1):
+        e = s + 1
+        while e < len(tags) and tags[e] == tags[s] + 1:
+            e += 1
+        if _log_odds(p, scores, tags, s, e) >= LOG_ODDS:
+            found.append((KINDS[tags[s] // 2], int(begin + s), int(begin + e)))
     return found
 
 
-def tagged_spans(p: dict, texts: list[str]) -> list[list[tuple[str, int, int]]]:
-    """Confident spans of each text. Windows of several texts share a batch, ``TOGETHER`` of them or one text's."""
+def tagged_spans(p: dict, texts: list[str], every: bool = False) -> list[list[tuple[str, int, int]]]:
+    """Confident spans of each text. ``TOGETHER`` windows of some stretches, or of a part of a long one, are scored at
+    once. ``every`` tags all windows, those without a digit or ``@`` too."""
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    held: list[tuple] = []
-
-    def flush() -> None:
-        if held:
-            scores = tagger.emissions(p, np.concatenate([windows for *_, windows in held]))
-            at = 0
-            for i, starts, runs, windows in held:
-                out[i] = _decoded(p, texts[i], starts, runs, scores[at : at + len(windows)])
-                at += len(windows)
-            held.clear()
-
-    waiting = 0
+    waiting: list[tuple] = []  # windows, where to add their scores, and the sums
+    open_: list[tuple] = []  # stretches whose windows are all scored or waiting
+
+    def score() -> None:
+        if waiting:
+            scores = tagger.emissions(p, np.stack([w for w, *_ in waiting]))
+            for one, (_, at, total, weight) in zip(scores, waiting):
+                size = min(WINDOW, len(total) - at)
+                total[at : at + size] += one[:size] * _WEIGHT[:size, None]
+                weight[at : at + size] += _WEIGHT[:size]
+            waiting.clear()
+        for i, begin, total, weight in open_:
+            out[i] += _decoded(p, begin, total / weight[:, None])
+        open_.clear()
+
     for i, text in enumerate(texts):
-        if not _TRIGGER.search(text):
+        if not text or not every and not _TRIGGER.search(text):
             continue
-        starts, runs = _stretches(text)
+        if every:
+            starts = np.arange(0, max(1, len(text) - STRIDE), STRIDE)
+            runs = [(0, len(starts))]
+        else:
+            starts, runs = _stretches(text)
         classes = np.concatenate([tagger.character_classes(text), np.zeros(WINDOW, np.int8)])
-        held.append((i, starts, runs, classes[starts[:, None] + np.arange(WINDOW)]))
-        waiting += len(starts)
-        if waiting >= TOGETHER:
-            flush()
-            waiting = 0
-    flush()
+        for a, b in runs:
+            begin, end = starts[a], min(starts[b - 1] + WINDOW, len(text))
+            total, weight = np.zeros((end - begin, tagger.N_TAGS), np.float32), np.zeros(end - begin, np.float32)
+            for start in starts[a:b]:
+                waiting.append((classes[start : start + WINDOW], start - begin, total, weight))
+                if len(waiting) >= TOGETHER:
+                    score()
+            open_.append((i, begin, total, weight))
+    score()
     return out
 
 

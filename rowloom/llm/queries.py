@@ -76,13 +76,13 @@ def op4_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_char_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .pii import KINDS, find_personal_data
+    from .pii import BASE_KINDS, find_personal_data
 
     out = find_personal_data(_table(spark, sf_dir, "documents"))
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     of_kind = lambda kind: F.filter("base", lambda s: s["kind"] == kind)
-    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return out.select("doc_id", *counts, F.sha2(text("base"), 256).alias("base_sha256"), text("found").alias("spans"))
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+    return out.select("doc_id", *counts, F.sha2(text("base"), 256).alias("base_sha256"), text("found").alias("spans"), F.size("found").cast("long").alias("n_spans"))
 
 
 def op7_bk_tree_classes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-KINDS = ("email", "ip", "card", "phone")
+#: What the tagger knows: the four kinds that have a pattern, and secrets (keys and tokens), which have none.
+KINDS = ("email", "ip", "card", "phone", "secret")
 #: Tag 0 is outside; 2k + 1 begins kind k and 2k + 2 goes on with it.
 N_TAGS = 1 + 2 * len(KINDS)
 WINDOW, STRIDE = 64, 32

@@ -284,6 +284,62 @@ def test_tagger_adds_phones_and_leaves_look_alikes(docs):
     assert found[2][1] == [("phone", 50_006, 50_018)]
 
 
+def test_tagger_on_held_out_labels():
+    """Spans of windows written with another seed: precision and recall of each kind."""
+    from rowloom.llm import tagger
+
+    p = pii.trained()
+    chars, tags = pii.labelled_windows(3000, 99)
+    scores = tagger.emissions(p, chars)
+    spans = lambda t: {(s, next((e for e in range(s + 1, len(t)) if t[e] != t[s] + 1), len(t)), int(t[s])) for s in range(len(t)) if t[s] % 2 == 1}
+    right, said, asked = ([0] * 5 for _ in range(3))
+    for row in range(len(tags)):
+        want, got = spans(tags[row]), spans(tagger.best_tags(p, scores[row]))
+        # Spans that the window's ends cut have not all of their characters: they are no fair question.
+        want, got = ({x for x in xs if x[0] > 0 and x[1] < tagger.WINDOW} for xs in (want, got))
+        for xs, into in ((want, asked), (got, said), (want & got, right)):
+            for x in xs:
+                into[x[2] // 2] += 1
+    scored = {k: (round(r / s, 3), round(r / a, 3)) for k, r, s, a in zip(pii.KINDS, right, said, asked)}
+    print("precision and recall", scored)
+    assert all(a > 100 for a in asked) and all(x > 0.8 for pr in scored.values() for x in pr), scored
+
+
+def test_viterbi_equals_enumeration():
+    import itertools
+
+    import numpy as np
+
+    from rowloom.llm import tagger
+
+    rng = np.random.default_rng(5)
+    p = {"A": rng.normal(0, 1, (tagger.N_TAGS,) * 2), "S": rng.normal(0, 1, tagger.N_TAGS)}
+    for _ in range(6):
+        scores = rng.normal(0, 1, (4, tagger.N_TAGS))
+        legal = lambda t: all(x % 2 or not x or (k and t[k - 1] in (x, x - 1)) for k, x in enumerate(t))
+        value = lambda t: p["S"][t[0]] + sum(p["A"][a, b] for a, b in zip(t, t[1:])) + sum(scores[k, x] for k, x in enumerate(t))
+        best = max((t for t in itertools.product(range(tagger.N_TAGS), repeat=4) if legal(t)), key=value)
+        assert tuple(tagger.best_tags(p, scores)) == best
+
+
+def test_windows_without_digit_or_at_have_nothing_to_give(spark):
+    """Whole texts with all windows tagged give the same well-formed spans."""
+    p = pii.trained()
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    fine = lambda found: [[x for x in xs if pii._well_formed(x[0], t[x[1] : x[2]])] for xs, t in zip(found, texts)]
+    some, every = fine(pii.tagged_spans(p, texts)), fine(pii.tagged_spans(p, texts, every=True))
+    assert sum(a == b for a, b in zip(some, every)) >= 0.99 * len(texts) and sum(map(len, every)) > 20
+
+
+def test_parts_of_a_stretch_decide_together(monkeypatch):
+    text = "numbers 1 2 3 4 5 " * 400 + 'token = "f33e61083db5dbdf4bd2369d2f80176e57f7fda2" and call 706-555-3138 now ' + "6 7 8 9 " * 300
+    whole = pii.tagged_spans(pii.trained(), [text, "", None or "", text])
+    monkeypatch.setattr(pii, "TOGETHER", 7)
+    assert pii.tagged_spans(pii.trained(), [text, "", "", text]) == whole and whole[0] == whole[3]
+    at = text.index("f33e")
+    assert ("secret", at, at + 40) in whole[0]
+
+
 def test_tagger_gradients():
     import numpy as np
 
