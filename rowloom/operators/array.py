@@ -2,6 +2,7 @@
 
 Two forms: *rows* ``(row_id, c1 ... cp)`` for tall dense data and *coo* ``(i, j, v)`` for sparse or square data, where an
 absent cell of a sparse array is 0. Blocks are arithmetic on positions (``Grid``), not physical Spark partitions.
+Missing values are nulls and spread like NA: a sum, product or norm that meets one is missing.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ FETCH_CELLS = 50_000_000
 
 
 class DistArray:
-    def __init__(self, df: DataFrame, grid: Grid, form: str, sparse: bool = False, names: tuple[list | None, list | None] = (None, None)):
-        self.df, self.grid, self.form, self.sparse, self._names = df, grid, form, sparse, names
+    def __init__(self, df: DataFrame, grid: Grid, form: str, sparse: bool = False, names: tuple[list | None, list | None] = (None, None), placed: bool = True):
+        self.df, self.grid, self.form, self.sparse, self._names, self._placed = df, grid, form, sparse, names, placed
 
     # -- construction ------------------------------------------------------------------------------------------------
 
@@ -64,20 +65,19 @@ class DistArray:
         values = df.select(*(keys or ["row_id"]), *[cleaned(F.col(c)).alias(f"__{c}") for c in columns])
         values = with_row_id(values, keys) if keys else values
         out = values.select("row_id", *[F.col(f"__{c}").alias(f"c{k + 1}") for k, c in enumerate(columns)])
-        grid = Grid.of(out.count() if blocks or npartitions else _late_rows(out), len(columns), blocks, npartitions)
-        return cls(out, grid, "rows", names=(None, list(columns)))
+        return cls(out, Grid.of(out.count(), len(columns), blocks, npartitions), "rows", names=(None, list(columns)))
 
     @classmethod
     def unordered(cls, df: DataFrame, columns: list[str]) -> DistArray:
-        """Like ``from_frame`` for work that needs no positions (reductions): no sort, ids unique but not consecutive."""
+        """Like ``from_frame`` for work that needs no positions (reductions): no sort. What asks for a position raises."""
         out = df.select(F.monotonically_increasing_id().alias("row_id"), *[cleaned(F.col(c)).alias(f"c{k + 1}") for k, c in enumerate(columns)])
-        return cls(out, Grid.of(df.count(), len(columns)), "rows", names=(None, list(columns)))
+        return cls(out, Grid.of(df.count(), len(columns)), "rows", names=(None, list(columns)), placed=False)
 
     @classmethod
     def from_coo(cls, df: DataFrame, shape: tuple[int, int], blocks=None, sparse: bool = True, base: int = 0) -> DistArray:
-        """Triplets (i, j, v); cells that occur more than once are summed."""
+        """Triplets (i, j, v); cells that occur more than once are summed, and missing when one of them is."""
         cells = df.select((F.col("i") - base).cast("long").alias("i"), (F.col("j") - base).cast("long").alias("j"), cleaned(F.col("v")).alias("v"))
-        return cls(cells.groupBy("i", "j").agg(F.sum("v").alias("v")), Grid.of(*shape, blocks), "coo", sparse)
+        return cls(cells.groupBy("i", "j").agg(guarded(F.sum("v"), F.col("v"), False).alias("v")), Grid.of(*shape, blocks), "coo", sparse)
 
     # -- shape -------------------------------------------------------------------------------------------------------
 
@@ -116,7 +116,7 @@ class DistArray:
     def with_dimnames(self, rows: list | None, cols: list | None) -> DistArray:
         if rows is not None and len(rows) != self.nrow or cols is not None and len(cols) != self.ncol:
             raise ValueError("names do not fit the dimensions")
-        return DistArray(self.df, self.grid, self.form, self.sparse, (rows, cols))
+        return DistArray(self.df, self.grid, self.form, self.sparse, (rows, cols), self._placed)
 
     def partition_sizes(self, k: int | None = None) -> DataFrame:
         sizes = self.grid.sizes(self.spark).select("pid", "n_rows", "n_cols")
@@ -126,7 +126,11 @@ class DistArray:
         return self.grid.sizes(self.spark).select("pid", "row_offset", "col_offset")
 
     def _like(self, df: DataFrame, form: str | None = None, sparse: bool | None = None) -> DistArray:
-        return DistArray(df, self.grid, form or self.form, self.sparse if sparse is None else sparse, self._names)
+        return DistArray(df, self.grid, form or self.form, self.sparse if sparse is None else sparse, self._names, self._placed)
+
+    def _need_positions(self) -> None:
+        if not self._placed:
+            raise ValueError("an array without row order has no positions; build it with from_frame and keys")
 
     # -- forms -------------------------------------------------------------------------------------------------------
 
@@ -134,6 +138,7 @@ class DistArray:
         """Cells as (i, j, v). Cells of a dense array are all there, missing ones with a null."""
         if self.form == "coo":
             return self
+        self._need_positions()
         cells = F.array(*[F.struct(F.lit(k).cast("long").alias("j"), F.col(c).alias("v")) for k, c in enumerate(self.columns)])
         return self._like(self.df.select(F.col("row_id").alias("i"), F.inline(cells)), "coo", False)
 
@@ -169,12 +174,14 @@ class DistArray:
 
     def get_partition(self, k: int, c: int | None = None) -> DataFrame:
         """One block, with original positions. In the rows form a range filter on row_id, which scans push down."""
+        self._need_positions()
         r0, r1, c0, c1 = self.grid.bounds(self.grid.number(k, c))
         if self.form == "rows":
             return self.df.where((F.col("row_id") >= r0) & (F.col("row_id") < r1)).select("row_id", *self.columns[c0:c1])
         return self.df.where((F.col("i") >= r0) & (F.col("i") < r1) & (F.col("j") >= c0) & (F.col("j") < c1))
 
     def with_pid(self) -> DataFrame:
+        self._need_positions()
         if self.form == "rows" and self.grid.shape2d[1] == 1:
             return self.df.select(self.grid.pid(F.col("row_id")).alias("pid"), "*")
         coo = self.to_coo().df
@@ -198,6 +205,8 @@ class DistArray:
         return self._like(self.df.select("i", "j", f(F.col("v")).alias("v")))
 
     def _check(self, other: DistArray) -> None:
+        self._need_positions()
+        other._need_positions()
         if self.dim != other.dim:
             raise ValueError(f"dimensions differ: {self.dim} and {other.dim}")
 
@@ -251,12 +260,16 @@ class DistArray:
         return self.equal_frame(other).first()[0]
 
     def matmul(self, other: DistArray) -> DistArray:
-        """Index join and sum; the join strategy is left to sizes that Spark measures."""
+        """Index join and sum; the join strategy is left to sizes that Spark measures.
+
+        A missing cell makes every product of its row (or column) missing. Cells that a sparse array does not store
+        are 0 and meet nothing, so there only stored cells spread.
+        """
         if self.ncol != other.nrow:
             raise ValueError(f"cannot multiply {self.dim} by {other.dim}")
         a = self.to_coo().df.select("i", F.col("j").alias("k"), F.col("v").alias("a"))
         b = other.to_coo().df.select(F.col("i").alias("k"), "j", F.col("v").alias("b"))
-        out = a.join(b, "k").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("v"))
+        out = a.join(b, "k").select("i", "j", (F.col("a") * F.col("b")).alias("v")).groupBy("i", "j").agg(guarded(F.sum("v"), F.col("v"), False).alias("v"))
         grid = Grid.of(self.nrow, other.ncol, (self.grid.rb, other.grid.cb))
         return DistArray(out, grid, "coo", True)
 
@@ -317,9 +330,11 @@ class DistArray:
         return self.df.agg((mean if na_rm else F.when(missing == 0, mean)).alias("value"))
 
     def norm_frame(self) -> DataFrame:
+        """Root of the sum of squares; missing when a cell is."""
         squares = F.lit(0.0)
         for c in self.columns if self.form == "rows" else ["v"]:
-            squares = squares + F.coalesce(F.sum(F.col(c) * F.col(c)), F.lit(0.0))
+            square = F.col(c) * F.col(c)
+            squares = squares + F.when(F.count(c) == F.count(F.lit(1)), F.coalesce(F.sum(square), F.lit(0.0)))
         return self.df.agg(F.sqrt(squares).alias("value"))
 
     def sum(self, na_rm: bool = False):
@@ -366,11 +381,13 @@ class DistArray:
         """(i, value)."""
         if self.form == "coo":
             return self._by_index("i", F.sum, na_rm)
+        self._need_positions()
         return self.df.select(F.col("row_id").alias("i"), self._across(na_rm)[0].alias("value"))
 
     def row_means(self, na_rm: bool = False) -> DataFrame:
         if self.form == "coo":
             return self._by_index("i", F.avg, na_rm)
+        self._need_positions()
         total, n = self._across(na_rm)
         return self.df.select(F.col("row_id").alias("i"), F.try_divide(total, n).alias("value"))
 
@@ -389,10 +406,12 @@ class DistArray:
 
     def head(self, n: float = 6) -> DataFrame:
         """First rows; n < 0: all but the last -n. A filter on positions, no sort."""
+        self._need_positions()
         return self.to_rows().df.where(F.col("row_id") < self._first(n))
 
     def tail(self, n: float = 6) -> DataFrame:
         """Last rows with their original positions."""
+        self._need_positions()
         return self.to_rows().df.where(F.col("row_id") >= self.nrow - self._first(n))
 
     def argmax_frame(self) -> DataFrame:
@@ -404,17 +423,20 @@ class DistArray:
         return json.dumps({"dim": self.dim, "blocks": [self.grid.rb, self.grid.cb], "sparse": self.sparse})
 
 
-def _late_rows(df: DataFrame) -> int:
-    return df.count()
-
-
-def reduce_blocks(parts: list[DistArray], f: str = "sum") -> DistArray:
-    """Cell by cell over arrays of equal size: sum, max, min or product, as one grouped aggregate."""
+def reduce_blocks(parts: list[DistArray], f="sum") -> DistArray:
+    """Cell by cell over arrays of equal size: sum, max, min or product as one grouped aggregate, or any associative
+    function of two columns, applied in the order of ``parts`` (a cell gathers as many values as there are parts)."""
     first = parts[0]
     for p in parts[1:]:
         first._check(p)
-    every = parts[0].cells()
-    for p in parts[1:]:
-        every = every.unionByName(p.cells())
+    number = lambda p, k: p.cells().select("i", "j", F.lit(k).alias("k"), "v")
+    every = number(first, 0)
+    for k, p in enumerate(parts[1:], 1):
+        every = every.unionByName(number(p, k))
+    if callable(f):
+        values = F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s["v"])
+        gathered = every.groupBy("i", "j").agg(values.alias("vs"))
+        folded = F.aggregate(F.slice("vs", 2, max(1, len(parts))), F.get("vs", F.lit(0)), lambda a, v: f(a, v))
+        return first._like(gathered.select("i", "j", folded.alias("v")), "coo", False)
     agg = {"sum": F.sum, "max": F.max, "min": F.min, "product": F.product}[f]
     return first._like(every.groupBy("i", "j").agg(agg("v").alias("v")), "coo", False)

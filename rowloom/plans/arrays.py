@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from ..operators.array import DistArray, reduce_blocks
 from ..operators.dlist import DistList
 from ..operators.frame import DistFrame
-from ..operators.grid import Grid
 from ..operators.parallel import Split, foreach
 
 FOUR = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-LINE_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-_IDS = "row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1"
+# Lines may share their first four keys, so the order goes on with all other columns; what still ties is equal.
+LINE_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+_IDS = f"row_number() OVER (ORDER BY {', '.join(LINE_KEYS)}) - 1"
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -85,6 +85,42 @@ def array_norm(spark, d):
     return _rounded(_items(spark, d).norm_frame(), 2)
 
 
+@query("SELECT CASE WHEN count(*) = count(nullif(l_discount, 0)) THEN sqrt(sum(l_discount * l_discount)) END AS missing, round(sqrt(sum(l_discount * l_discount)), 6) AS whole FROM lineitem")
+def array_norm_missing(spark, d):
+    t = table(spark, d, "lineitem").select("l_discount", F.nullif("l_discount", F.lit(0.0)).alias("v"))
+    k = lambda c, n: DistArray.unordered(t, [c]).norm_frame().select(F.lit(1).alias("k"), F.round("value", 6).alias(n))
+    return k("v", "missing").join(k("l_discount", "whole"), "k").drop("k")
+
+
+@query("SELECT l_suppkey AS i, l_partkey AS j, CASE WHEN count(*) = count(nullif(l_discount, 0)) THEN round(sum(l_discount), 4) END AS v FROM lineitem GROUP BY ALL")
+def sparse_triplets_missing(spark, d):
+    t = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("i"), F.col("l_partkey").alias("j"), F.nullif("l_discount", F.lit(0.0)).alias("v"))
+    top = t.agg(F.max("i"), F.max("j")).first()
+    return _rounded(DistArray.from_coo(t, (top[0] + 1, top[1] + 1)).df, 4, "v")
+
+
+@query(
+    "WITH a AS (SELECT l_suppkey i, l_linenumber k, CASE WHEN count(*) = count(nullif(l_discount, 0)) THEN sum(l_discount) END v FROM lineitem GROUP BY ALL), b AS (SELECT l_linenumber k, ascii(l_returnflag) j, sum(l_quantity) v FROM lineitem GROUP BY ALL) "
+    "SELECT i, CAST(j AS BIGINT) AS j, CASE WHEN count(*) = count(a.v) THEN round(sum(a.v * b.v), 2) END AS v FROM a JOIN b USING (k) GROUP BY ALL"
+)
+def matrix_product_missing(spark, d):
+    t = table(spark, d, "lineitem")
+    top = t.agg(F.max("l_suppkey"), F.max("l_linenumber")).first()
+    a = DistArray.from_coo(t.select(F.col("l_suppkey").alias("i"), F.col("l_linenumber").alias("j"), F.nullif("l_discount", F.lit(0.0)).alias("v")), (top[0] + 1, top[1] + 1))
+    b = DistArray.from_coo(t.select(F.col("l_linenumber").alias("i"), F.ascii("l_returnflag").alias("j"), F.col("l_quantity").alias("v")), (top[1] + 1, 128))
+    return _rounded((a @ b).df, 2, "v")
+
+
+@query("SELECT l_suppkey AS i, l_partkey AS j, round(greatest(sum(l_quantity), 100 * sum(l_tax)) * sum(l_discount), 4) AS v FROM lineitem GROUP BY ALL")
+def reduce_blocks_by_function(spark, d):
+    """An associative function of the caller, here max of the first two and then the product with the third."""
+    a, b, c = _sales(spark, d), 100 * _sales(spark, d, "l_tax"), _sales(spark, d, "l_discount")
+    top = reduce_blocks([a, b], F.greatest).df
+    stored = a.df.select("i", "j")
+    out = reduce_blocks([a._like(top, "coo", False), c], lambda x, y: x * y).df
+    return _rounded(out.join(stored, ["i", "j"], "left_semi"), 4, "v")
+
+
 @query("SELECT CAST(NULL AS DOUBLE) AS strict, round(sum(nullif(l_discount, 0)), 4) AS removed, round(avg(nullif(l_discount, 0)), 6) AS removed_mean, max(nullif(l_discount, 0)) AS removed_max FROM lineitem")
 def array_missing_values(spark, d):
     x = DistArray.unordered(table(spark, d, "lineitem").select(F.nullif("l_discount", F.lit(0.0)).alias("v")), ["v"])
@@ -309,6 +345,24 @@ def loop_over_blocks(spark, d):
     return out["out"].select("pid", "n", "scaled")
 
 
+@query(
+    f"WITH b AS (SELECT row_id // 500 + 1 pid, row_id - (row_id // 500) * 500 k, c1, c2 FROM ({_ORDER_ROWS})) SELECT 'matrix' AS name, pid, CAST(0 AS BIGINT) AS pos, round(sum(c1), 2) AS v FROM b GROUP BY pid UNION ALL SELECT 'matrix', pid, 1, round(sum(c2), 2) FROM b GROUP BY pid "
+    "UNION ALL SELECT 'vector', pid, k, round(c1 + c2, 2) FROM b WHERE k < 3 UNION ALL SELECT 'list', pid, CAST(0 AS BIGINT), CAST(count(*) AS DOUBLE) FROM b GROUP BY pid"
+)
+def loop_updates_of_each_kind(spark, d):
+    """A loop with three outputs: a matrix, a vector and a list."""
+    import numpy as np
+
+    def task(part):
+        m = part[["c1", "c2"]].to_numpy()
+        return {"matrix": np.round(m.sum(axis=0), 2).reshape(2, 1), "vector": np.round(m.sum(axis=1)[:3], 2), "list": [float(len(m))]}
+
+    x = DistArray.from_frame(table(spark, d, "orders"), ["o_totalprice", "o_custkey"], ["o_orderkey"], blocks=(500, 2))
+    out = foreach(spark, range(1, x.npartitions + 1), task, {"part": Split(x)}, {n: "v double" for n in ("matrix", "vector", "list")})
+    parts = [t.select(F.lit(n).alias("name"), "pid", "pos", "v") for n, t in out.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query(f"SELECT g.pid, round(g.s - h.s, 2) AS diff FROM (SELECT row_id // 500 + 1 pid, sum(c1) s FROM ({_ORDER_ROWS}) GROUP BY 1) g JOIN (SELECT row_id // 500 + 1 pid, sum(c2) s FROM ({_ORDER_ROWS}) GROUP BY 1) h USING (pid)")
 def loop_over_aligned_blocks(spark, d):
     import pandas as pd
@@ -322,7 +376,3 @@ def loop_over_aligned_blocks(spark, d):
 
     out = foreach(spark, range(1, a.npartitions + 1), task, {"left": Split(a), "right": Split(b)}, {"out": "diff double"})
     return out["out"].select("pid", "diff")
-
-
-def grid_of(n: int, k: int) -> Grid:
-    return Grid.of(n, k)

@@ -105,3 +105,30 @@ def test_grid_arithmetic():
     assert g.shape2d == (3, 3) and g.n == 9 and g.bounds(9) == (8, 10, 4, 5)
     with pytest.raises(ValueError):
         Grid.of(10**6, 10**6, (1, 1))
+
+
+def test_missing_values_spread(spark):
+    nan = float("nan")
+    a = DistArray.from_numpy(spark, np.array([[1, nan], [2, 3]]))
+    assert a.norm() is None and DistArray.from_numpy(spark, np.array([[1, 2], [2, 4]])).norm() == 5
+    cells = {(r["i"], r["j"]): r["v"] for r in (a @ DistArray.from_numpy(spark, np.eye(2))).df.collect()}
+    assert cells == {(0, 0): None, (0, 1): None, (1, 0): 2.0, (1, 1): 3.0}
+    t = spark.createDataFrame([(0, 0, None), (0, 0, 2.0), (1, 1, 1.0), (1, 1, 4.0)], "i long, j long, v double")
+    assert {(r["i"], r["j"]): r["v"] for r in DistArray.from_coo(t, (2, 2)).df.collect()} == {(0, 0): None, (1, 1): 5.0}
+
+
+def test_arrays_without_order_have_no_positions(spark):
+    x = DistArray.unordered(spark.range(1000).repartition(4).toDF("v"), ["v"])
+    assert x.sum() == 499500 and (2 * x).max() == 1998
+    for ask in (lambda: x.tail(5), lambda: x.head(5), lambda: x.row_sums(), lambda: x.get_partition(1), lambda: x.with_pid(), lambda: x + x, lambda: (x * 2).tail(1), lambda: x.fetch(), lambda: x.argmax_frame()):
+        with pytest.raises(ValueError, match="positions"):
+            ask()
+
+
+def test_reduce_by_any_associative_function(spark):
+    from rowloom.operators.array import reduce_blocks
+
+    parts = [DistArray.from_numpy(spark, np.array([[k, 2.0], [k * k, 1]])) for k in (1, 2, 3)]
+    assert (reduce_blocks(parts, lambda x, y: x + y + x * y).fetch() == [[23, 26], [99, 7]]).all()
+    first = reduce_blocks(parts, lambda x, y: x).fetch()  # not commutative: the order of the parts
+    assert (first == parts[0].fetch()).all() and (reduce_blocks(parts, "sum").fetch() == [[6, 6], [14, 3]]).all()
