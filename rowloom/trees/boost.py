@@ -19,6 +19,8 @@ from ..operators.sampling import sampled
 
 DISTRIBUTIONS = ("gaussian", "bernoulli", "adaboost", "multinomial")
 LEAST_ITERATIONS = 50
+#: Most rows of a part: they meet in one group.
+PART_ROWS = 1_000_000
 
 
 def _tree(x: np.ndarray, r: np.ndarray, depth: int, min_leaf: int) -> list:
@@ -176,6 +178,8 @@ def fit_boosted(df: DataFrame, features: list[str], response: str, key: str, dis
     if distribution in ("bernoulli", "adaboost") and len(classes) != 2:
         raise ValueError("two classes are needed")
     n = rows.count()
+    if not sample and n > parts * PART_ROWS:
+        raise ValueError(f"{n} rows are more than {parts} parts of {PART_ROWS}; use more parts or a sample")
     label = F.col("__y").cast("double") if classes is None else F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("__y")).cast("double") - 1
     used = rows.select("row_id", *[F.col(c).cast("double").alias(c) for c in features], label.alias("__t"))
     if sample:

@@ -21,8 +21,12 @@ def fit_tree(df: DataFrame, formula: str, key: str, weight: str | None = None, m
     return grow(df, formula, key, Growth(1, None, min_split, min_leaf or max(1, round(min_split / 3)), max_depth, None, cp, n_bins), weight, na_action)
 
 
-def fit_forest(df: DataFrame, formula: str, key: str, n_trees: int = 500, mtry: int | None = None, replace: bool = True, node_size: int | None = None, max_nodes: int | None = None, n_bins: int = 256, max_depth: int = 30, seed: int = 1, batch: int = 50, na_action: str = "omit") -> Forest:
-    """Bagged trees, grown ``batch`` at a time so that rows times trees in flight stay bounded."""
+def fit_forest(df: DataFrame, formula: str, key: str, n_trees: int = 500, mtry: int | None = None, replace: bool = True, node_size: int | None = None, max_nodes: int | None = None, n_bins: int = 256, max_depth: int = 30, seed: int = 1, batch: int = 50, na_action: str = "omit", test: DataFrame | None = None) -> Forest:
+    """Bagged trees, grown ``batch`` at a time so that rows times trees in flight stay bounded.
+
+    ``test`` (the features, the response and the key) gives ``test_prediction`` and ``test_error``, the curve over
+    1, 2, ... trees, as frames of the forest.
+    """
     response, features = variables(formula, [c for c in df.columns if c != key])
     classify = dict(df.dtypes)[response] in ("string", "boolean")
     mtry = mtry or max(1, math.floor(math.sqrt(len(features))) if classify else len(features) // 3)
@@ -34,6 +38,9 @@ def fit_forest(df: DataFrame, formula: str, key: str, n_trees: int = 500, mtry:
         out = part if out is None else out.joined(part)
     out.seeds = [(seed + t // batch * batch, t % batch) for t in range(n_trees)]
     out.bootstrap = "poisson" if replace else "subsample"
+    if test is not None:
+        out.test_prediction = out.predict(test).select(F.col(key).alias("key"), "prediction")
+        out.test_error = error_curve(out, test, key, oob=False)
     return out
 
 
@@ -62,8 +69,9 @@ def tree_votes(forest: Forest, df: DataFrame, key: str) -> DataFrame:
         u = uniform(F.lit(seed), F.lit(t), F.col(key))
         return {"none": F.lit(1), "poisson": poisson_weight(u), "subsample": (u < 0.632).cast("int")}[kind]
 
-    each = F.array(*[F.struct(F.lit(t).alias("tree"), forest.tree_value(t).alias("vote"), (drawn(*seeds[t]) == 0).alias("oob")) for t in range(len(forest.trees))])
-    return df.select(F.col(key).alias("key"), F.inline(each))
+    voted = forest.with_votes(df.select(*dict.fromkeys([key, *forest.features])))
+    each = F.array(*[F.struct(F.lit(t).alias("tree"), F.get("__votes", F.lit(t)).alias("vote"), (drawn(*seeds[t]) == 0).alias("oob")) for t in range(len(forest.trees))])
+    return voted.select(F.col(key).alias("key"), F.inline(each))
 
 
 def _truth(forest: Forest, df: DataFrame, key: str) -> DataFrame:
