@@ -93,7 +93,7 @@ def glm_gaussian_summary(spark, d):
 
 @query(_FIT + f" SELECT {_IDS} AS row_id, round(a + b * l_quantity, 2) AS prediction, round(l_extendedprice - a - b * l_quantity, 2) AS residual FROM lineitem, f")
 def glm_gaussian_predict(spark, d):
-    t = with_row_id(table(spark, d, "lineitem").select(*LINE_KEYS, "l_extendedprice", "l_quantity"), LINE_KEYS)
+    t = with_row_id(table(spark, d, "lineitem").select(*LINE_KEYS), LINE_KEYS)
     m = glm.fit_glm(t, "l_extendedprice", ["l_quantity"], complete=False)
     return m.residuals(m.predict(t, "response"), "response").select("row_id", F.round("prediction", 2).alias("prediction"), F.round("residual", 2).alias("residual"))
 
@@ -153,8 +153,7 @@ def glm_cross_validation(spark, d):
 
 # -- clustering ------------------------------------------------------------------------------------------------------------
 
-DIMS = ["x1", "x2", "x3", "x4"]
-ALL_DIMS = [f"x{k}" for k in range(1, 65)]
+DIMS = [f"x{k}" for k in range(1, 65)]
 
 
 def _points(spark, d, dims: list[str] = DIMS):
@@ -205,103 +204,52 @@ def _total_sql(n: int) -> str:
     return "WITH p AS (" + " UNION ALL ".join(f"SELECT {k} k, CAST(embedding[{k}] AS DOUBLE) x FROM embeddings" for k in range(1, n + 1)) + ") SELECT round(sum(v), 6) AS totss FROM (SELECT var_pop(x) * count(*) v FROM p GROUP BY k)"
 
 
-@query(_total_sql(4))
-def kmeans_total_squares(spark, d):
-    m = kmeans.fit_kmeans(_points(spark, d), 3, DIMS, iter_max=50, seed=5)
-    return spark.createDataFrame([(round(m.totss, 6),)], "totss double")
-
-
-# The three above read the first four entries, as their SQL does; these three read all 64.
-@query(_kmeans_sql(0, "SELECT vec_id, CAST(k AS INTEGER) AS cluster FROM a0", ALL_DIMS))
-def kmeans_assign_whole(spark, d):
-    return kmeans.apply_centers(_points(spark, d, ALL_DIMS), ALL_DIMS, _start(spark, d, ALL_DIMS)).select("vec_id", "cluster")
-
-
-@query(_kmeans_sql(3, _STEPS_3, ALL_DIMS))
-def kmeans_three_steps_whole(spark, d):
-    return _three_steps(spark, d, ALL_DIMS)
-
-
 @query(_total_sql(64))
-def kmeans_total_squares_whole(spark, d):
-    m = _fit_three(spark, d, ALL_DIMS, True)  # the total does not depend on the steps
+def kmeans_total_squares(spark, d):
+    m = _fit_three(spark, d, DIMS, True)  # the total does not depend on the steps
     return spark.createDataFrame([(round(m.totss, 6),)], "totss double")
 
 
 # -- graphs ------------------------------------------------------------------------------------------------------------------
 
-_EDGES = "SELECT l_suppkey % 60 AS s, l_partkey % 60 AS t, count(*) AS x, sum(l_quantity) AS w FROM lineitem WHERE l_suppkey % 60 > 4 GROUP BY ALL"
+_EDGES = "SELECT l_suppkey AS s, l_partkey AS t, count(*) AS x, sum(l_quantity) AS w FROM lineitem GROUP BY ALL"
+_IDS = "range((SELECT CAST(max(greatest(l_suppkey, l_partkey)) + 1 AS BIGINT) FROM lineitem))"
+_N = "(SELECT count(*) FROM v)"
+_RANKS = "SELECT vertex, round(r, 12) AS rank FROM r{n}"
 
 
 def _graph(spark, d, weighted: bool) -> graph.Graph:
-    t = table(spark, d, "lineitem").where("l_suppkey % 60 > 4").select((F.col("l_suppkey") % 60).alias("s"), (F.col("l_partkey") % 60).alias("t"), F.col("l_quantity").alias("w"))
-    return graph.Graph.from_edges(t, "s", "t", "w" if weighted else None, 60)
+    return graph.Graph.from_edges(table(spark, d, "lineitem"), "l_suppkey", "l_partkey", "l_quantity" if weighted else None)
 
 
-def _pagerank_sql(steps: int, share: str, base: str, final: str = "SELECT vertex, round(r, 9) AS rank FROM r{n}", edges: str = _EDGES, ids: str = "range(60)") -> str:
-    parts = [f"e AS ({edges})", f"o AS (SELECT s, sum({share}) g FROM e GROUP BY s)", f"f AS (SELECT s, t, 0.85 * {share} / g f FROM e JOIN o USING (s))", f"v AS (SELECT range AS vertex FROM {ids})", "r0 AS (SELECT vertex, 1 - 0.85 AS r FROM v)"]
+def _pagerank_sql(steps: int, share: str, base: str, final: str = _RANKS) -> str:
+    parts = [f"e AS ({_EDGES})", f"o AS (SELECT s, sum({share}) g FROM e GROUP BY s)", f"f AS (SELECT s, t, 0.85 * {share} / g f FROM e JOIN o USING (s))", f"v AS (SELECT range AS vertex FROM {_IDS})", "r0 AS (SELECT vertex, 1 - 0.85 AS r FROM v)"]
     for k in range(steps):
         parts.append(f"u{k} AS (SELECT v.vertex, coalesce(q.z, 0) + {base} r FROM v LEFT JOIN (SELECT t, sum(f * r) z FROM f JOIN r{k} ON s = vertex GROUP BY t) q ON q.t = v.vertex)")
         parts.append(f"r{k + 1} AS (SELECT vertex, r / (SELECT sum(r) FROM u{k}) r FROM u{k})")
-    return f"WITH {', '.join(parts)} {final.format(n=steps)}"
+    return f"WITH {', '.join(parts)} {final.format(n=steps)}".replace(" AS (", " AS MATERIALIZED (")
 
 
-@query(_pagerank_sql(5, "x", "(1 - 0.85) / 60"))
+@query(_pagerank_sql(5, "x", f"(1 - 0.85) / {_N}"))
 def pagerank_five_rounds(spark, d):
-    return graph.pagerank(_graph(spark, d, False), 5, 0).withColumn("rank", F.round("rank", 9))
+    return graph.pagerank(_graph(spark, d, False), 5, 0).withColumn("rank", F.round("rank", 12))
 
 
-@query(_pagerank_sql(4, "(x * w)", "(1 - 0.85) / 60"))
+@query(_pagerank_sql(4, "(x * w)", f"(1 - 0.85) / {_N}"))
 def pagerank_weighted(spark, d):
-    return graph.pagerank(_graph(spark, d, True), 4, 0).withColumn("rank", F.round("rank", 9))
+    return graph.pagerank(_graph(spark, d, True), 4, 0).withColumn("rank", F.round("rank", 12))
 
 
-@query(_pagerank_sql(4, "x", "(1 - 0.85) * (v.vertex % 5) / 120.0"))
+@query(_pagerank_sql(4, "x", f"(1 - 0.85) * (v.vertex % 5) / (2.0 * {_N})"))
 def pagerank_personalized(spark, d):
-    own = spark.range(60).select(F.col("id").alias("vertex"), ((F.col("id") % 5) / 120.0).alias("value"))
-    return graph.pagerank(_graph(spark, d, False), 4, 0, personalized=own).withColumn("rank", F.round("rank", 9))
-
-
-@query(_pagerank_sql(5, "x", "(1 - 0.85) / 60", "SELECT vertex + 1 AS vertex FROM r{n} ORDER BY r DESC, vertex LIMIT 1"))
-def pagerank_top_vertex(spark, d):
-    return graph.top_vertex(graph.pagerank(_graph(spark, d, False), 5, 0))
-
-
-# The four above fold ids into 60 vertices, as their SQL does; these four rank the whole graph.
-_ALL_EDGES = "SELECT l_suppkey AS s, l_partkey AS t, count(*) AS x, sum(l_quantity) AS w FROM lineitem GROUP BY ALL"
-_ALL_IDS = "range((SELECT CAST(max(greatest(l_suppkey, l_partkey)) + 1 AS BIGINT) FROM lineitem))"
-_ALL_N = "(SELECT count(*) FROM v)"
-_ALL_RANKS = "SELECT vertex, round(r, 12) AS rank FROM r{n}"
-
-
-def _whole_graph(spark, d, weighted: bool) -> graph.Graph:
-    return graph.Graph.from_edges(table(spark, d, "lineitem"), "l_suppkey", "l_partkey", "l_quantity" if weighted else None)
-
-
-def _whole_pagerank_sql(steps: int, share: str, base: str, final: str = _ALL_RANKS) -> str:
-    return _pagerank_sql(steps, share, base, final, _ALL_EDGES, _ALL_IDS).replace(" AS (", " AS MATERIALIZED (")
-
-
-@query(_whole_pagerank_sql(5, "x", f"(1 - 0.85) / {_ALL_N}"))
-def pagerank_five_rounds_whole(spark, d):
-    return graph.pagerank(_whole_graph(spark, d, False), 5, 0).withColumn("rank", F.round("rank", 12))
-
-
-@query(_whole_pagerank_sql(4, "(x * w)", f"(1 - 0.85) / {_ALL_N}"))
-def pagerank_weighted_whole(spark, d):
-    return graph.pagerank(_whole_graph(spark, d, True), 4, 0).withColumn("rank", F.round("rank", 12))
-
-
-@query(_whole_pagerank_sql(4, "x", f"(1 - 0.85) * (v.vertex % 5) / (2.0 * {_ALL_N})"))
-def pagerank_personalized_whole(spark, d):
-    g = _whole_graph(spark, d, False)
+    g = _graph(spark, d, False)
     own = spark.range(g.n_vertices).select(F.col("id").alias("vertex"), ((F.col("id") % 5) / (2.0 * g.n_vertices)).alias("value"))
     return graph.pagerank(g, 4, 0, personalized=own).withColumn("rank", F.round("rank", 12))
 
 
-@query(_whole_pagerank_sql(5, "x", f"(1 - 0.85) / {_ALL_N}", "SELECT vertex + 1 AS vertex FROM r{n} ORDER BY r DESC, vertex LIMIT 1"))
-def pagerank_top_vertex_whole(spark, d):
-    return graph.top_vertex(graph.pagerank(_whole_graph(spark, d, False), 5, 0))
+@query(_pagerank_sql(5, "x", f"(1 - 0.85) / {_N}", "SELECT vertex + 1 AS vertex FROM r{n} ORDER BY r DESC, vertex LIMIT 1"))
+def pagerank_top_vertex(spark, d):
+    return graph.top_vertex(graph.pagerank(_graph(spark, d, False), 5, 0))
 
 
 # -- trees -----------------------------------------------------------------------------------------------------------------
@@ -321,12 +269,12 @@ def tree_histogram(spark, d):
 
 @query(
     f"WITH h AS (SELECT {_BIN} b, CAST(count(*) AS DOUBLE) n, sum(l_quantity) s FROM lineitem, {_RANGE} GROUP BY 1), c AS (SELECT b, sum(n) OVER w nl, sum(s) OVER w sl, (SELECT sum(n) FROM h) nt, (SELECT sum(s) FROM h) st, lead(b) OVER (ORDER BY b) nb FROM h WINDOW w AS (ORDER BY b)), "
-    f"g AS (SELECT nb, nl, sl * sl / nl + (st - sl) * (st - sl) / (nt - nl) - st * st / nt gain FROM c WHERE nl >= 7 AND nt - nl >= 7) SELECT round(lo + nb * (hi - lo) / 64, 4) AS threshold, CAST(nl AS BIGINT) AS n_left, round(gain, 1) AS gain FROM g, {_RANGE} ORDER BY gain DESC LIMIT 1"
+    f"g AS (SELECT nb, nl, sl * sl / nl + (st - sl) * (st - sl) / (nt - nl) - st * st / nt gain FROM c WHERE nl >= 7 AND nt - nl >= 7) SELECT round(lo + nb * (hi - lo) / 64, 2) AS threshold, CAST(nl AS BIGINT) AS n_left, round(gain, 1) AS gain FROM g, {_RANGE} ORDER BY gain DESC LIMIT 1"
 )
 def tree_root_split(spark, d):
     t = table(spark, d, "lineitem").select("l_orderkey", "l_extendedprice", "l_quantity")
     tree = forest.fit_tree(t, "l_quantity ~ l_extendedprice", "l_orderkey", cp=0.0, max_depth=1, n_bins=64).trees[0]
-    return spark.createDataFrame([(round(tree[0].threshold, 4), int(tree[tree[0].left].n), round(tree[0].gain, 1))], "threshold double, n_left long, gain double")
+    return spark.createDataFrame([(round(tree[0].threshold, 2), int(tree[tree[0].left].n), round(tree[0].gain, 1))], "threshold double, n_left long, gain double")
 
 
 @query("SELECT k AS key, CASE WHEN 2 * count_if(v = 1) >= 3 * count_if(v = 0) THEN 'y' ELSE 'n' END AS prediction FROM (SELECT o_orderkey k, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) % 2 v FROM orders UNION ALL SELECT o_orderkey, o_custkey % 2 FROM orders UNION ALL SELECT o_orderkey, (o_orderkey // 3) % 2 FROM orders) GROUP BY k".replace(">= 3", "> 3"))
@@ -337,19 +285,14 @@ def forest_votes(spark, d):
     return forest.combined_votes(votes, ["n", "y"], [0.4, 0.6])
 
 
-def _iris_like(spark, d, lines: str = "true"):
+def _iris_like(spark, d):
     """One row an order, with a class by rule from three measures of its lines: a tree can learn it exactly."""
-    t = table(spark, d, "lineitem").where(lines).groupBy("l_orderkey").agg(F.max("l_quantity").alias("q"), F.max("l_discount").alias("a"), F.max("l_returnflag").alias("flag"))
+    t = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max("l_quantity").alias("q"), F.max("l_discount").alias("a"), F.max("l_returnflag").alias("flag"))
     return t.withColumn("kind", F.when(F.col("q") < 20, "low").when(F.col("a") < 0.05, "mid").otherwise("high"))
 
 
-@query("SELECT count(*) AS n, count(*) AS n_right FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_linenumber = 1)")
-def tree_learns_rule(spark, d):
-    return _learned(_iris_like(spark, d, "l_linenumber = 1"))  # as its SQL does
-
-
 @query("SELECT count(*) AS n, count(*) AS n_right FROM (SELECT DISTINCT l_orderkey FROM lineitem)")
-def tree_learns_rule_whole(spark, d):
+def tree_learns_rule(spark, d):
     return _learned(_iris_like(spark, d))
 
 

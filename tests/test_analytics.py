@@ -242,7 +242,7 @@ def test_whole_graph_pagerank(spark, tmp_path):
 
     rows = [(s, p, float(q)) for s, p, q in [(0, 61, 2), (3, 125, 1), (60, 61, 5), (61, 3, 4), (61, 3, 1), (125, 0, 3), (64, 60, 2)]]
     spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
-    for name, weighted, steps in [("pagerank_five_rounds_whole", False, 5), ("pagerank_weighted_whole", True, 4)]:
+    for name, weighted, steps in [("pagerank_five_rounds", False, 5), ("pagerank_weighted", True, 4)]:
         x, w = {}, {}
         for s, p, q in rows:
             x[s, p], w[s, p] = x.get((s, p), 0) + 1, w.get((s, p), 0) + q
@@ -263,10 +263,10 @@ def test_whole_vectors_decide_the_cluster(spark, tmp_path):
 
     rows = [(i, [0.0] * 63 + [x]) for i, x in enumerate([0.0, 5.0, 9.0, 8.0, 4.0, 1.0])]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = {r["vec_id"]: r["cluster"] for r in analytics.QUERIES["kmeans_assign_whole"](spark, str(tmp_path)).collect()}
+    got = {r["vec_id"]: r["cluster"] for r in analytics.QUERIES["kmeans_assign"](spark, str(tmp_path)).collect()}
     assert got == {0: 1, 1: 2, 2: 3, 3: 3, 4: 2, 5: 1}
-    assert analytics.QUERIES["kmeans_total_squares_whole"](spark, str(tmp_path)).first()[0] == pytest.approx(65.5)
-    assert {r["k"]: (r["n"], r["withinss"]) for r in analytics.QUERIES["kmeans_three_steps_whole"](spark, str(tmp_path)).collect()} == {1: (2, 0.5), 2: (2, 0.5), 3: (2, 0.5)}
+    assert analytics.QUERIES["kmeans_total_squares"](spark, str(tmp_path)).first()[0] == pytest.approx(65.5)
+    assert {r["k"]: (r["n"], r["withinss"]) for r in analytics.QUERIES["kmeans_three_steps"](spark, str(tmp_path)).collect()} == {1: (2, 0.5), 2: (2, 0.5), 3: (2, 0.5)}
 
 
 def test_every_line_reaches_the_orders(spark, tmp_path):
@@ -277,3 +277,104 @@ def test_every_line_reaches_the_orders(spark, tmp_path):
     spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double, l_discount double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {r["l_orderkey"]: (r["q"], r["a"], r["flag"], r["kind"]) for r in analytics._iris_like(spark, str(tmp_path)).collect()}
     assert got == {1: (30.0, 0.07, "R", "high"), 2: (7.0, 0.02, "N", "low"), 3: (40.0, 0.01, "N", "mid")}
+
+
+def _table(spark, n=600, seed=4):
+    rng = np.random.default_rng(seed)
+    rows = [(i, float(a), float(b), "xyz"[int(c)], "hi" if a + (c == 2) * 0.3 > 0.6 else "mid" if b > 0.5 else "lo", float(3 * a - b)) for i, (a, b, c) in enumerate(zip(rng.random(n), rng.random(n), rng.integers(0, 3, n)))]
+    return spark.createDataFrame(rows, "id long, a double, b double, c string, kind string, v double")
+
+
+def _shape(tree, at=0):
+    n = tree[at]
+    return (round(n.value, 9), n.n) if n.feature < 0 else (n.feature, round(n.threshold, 9), n.left_bins, _shape(tree, n.left), _shape(tree, n.right))
+
+
+@pytest.mark.parametrize("formula", ["kind ~ a + b + c", "v ~ a + b + c"])
+def test_small_nodes_finish_as_the_levels_would(spark, formula):
+    t = _table(spark)
+    trees = [grow.grow(t, formula, "id", grow.Growth(1, None, 5, 2, 12, local_rows=local)).trees[0] for local in (0, 100, 10_000)]
+    assert len(trees[0]) > 10 and _shape(trees[0]) == _shape(trees[1]) == _shape(trees[2])
+
+
+def test_forest_walk_equals_expressions(spark, monkeypatch):
+    t = _table(spark)
+    m = forest.fit_forest(t, "kind ~ a + b + c", "id", n_trees=5, max_depth=6)
+    holes = t.unionByName(spark.createDataFrame([(-1, None, 0.2, "x", None, None), (-2, 0.1, None, None, None, None), (-3, float("nan"), 0.4, "unknown", None, None), (-4, 0.7, 0.1, "unknown", None, None)], t.schema))
+    votes = []
+    for most in (10**9, 0):
+        monkeypatch.setattr(grow, "EXPRESSION_NODES", most)
+        votes.append({r["id"]: list(r["__votes"]) for r in m.with_votes(holes).collect()})
+    assert votes[0] == votes[1] and len(votes[0]) == 604
+    monkeypatch.setattr(grow, "MODEL_BYTES", 10)
+    with pytest.raises(MemoryError):
+        m.predict(t)
+
+
+def test_forest_scores_a_test_set(spark):
+    t = _table(spark)
+    m = forest.fit_forest(t.where("id < 400"), "kind ~ a + b + c", "id", n_trees=6, max_depth=8, test=t.where("id >= 400"))
+    curve = {r["trees"]: r["error"] for r in m.test_error.collect()}
+    said = m.test_prediction.join(t, m.test_prediction["key"] == t["id"]).toPandas()
+    assert sorted(curve) == list(range(1, 7)) and len(said) == 200
+    assert curve[6] == pytest.approx((said.prediction != said.kind).mean()) and curve[6] < 0.2
+
+
+def test_imputation_takes_donors_of_the_leaf(spark):
+    from rowloom.trees import impute
+
+    t = _table(spark)
+    m = forest.fit_forest(t, "kind ~ a + b + c", "id", n_trees=4, max_depth=6)
+    holes = spark.createDataFrame([(1000 + i, 0.9, None, "x", None, None) for i in range(40)] + [(2000, None, None, None, None, None), (3000, 0.5, 0.5, "y", "lo", 1.0)], t.schema)
+    out = {r["id"]: r for r in impute.imputed(m, holes, t, "id").collect()}
+    known = {r["b"] for r in t.select("b").collect()}
+    assert len(out) == 42 and out[3000]["b"] == 0.5
+    assert all(out[1000 + i]["a"] == 0.9 and out[1000 + i]["b"] in known for i in range(40)) and len({out[1000 + i]["b"] for i in range(40)}) > 5
+    assert None not in (out[2000]["a"], out[2000]["b"], out[2000]["c"])
+    whole = {r["id"]: (r["a"], r["b"], r["c"]) for r in impute.imputed(m, holes, t, "id", everything=True).collect()}
+    rows = {(r["a"], r["b"], r["c"]) for r in t.collect()}
+    assert all(whole[1000 + i] in rows for i in range(40))
+    donors = impute.donors(m, t, "id")
+    assert donors.where(f"size(rows) > {impute.DONORS}").isEmpty() and {r["tree"] for r in donors.collect()} == {0, 1, 2, 3}
+
+
+def test_many_labels_are_no_category(spark, monkeypatch):
+    monkeypatch.setattr(grow, "MAX_LABELS", 2)
+    with pytest.raises(ValueError, match="labels"):
+        forest.fit_tree(_table(spark), "kind ~ c", "id")
+
+
+def test_glm_starting_values(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=300)
+    y = rng.poisson(np.exp(0.5 + 0.4 * x))
+    t = spark.createDataFrame([(i, float(a), float(b), 0.2, 1.5, float(1 + i % 2), float(i % 2)) for i, (a, b) in enumerate(zip(x, y))], "id long, x double, y double, eta double, mu double, w double, mask double")
+    fits = [glm.fit_glm(t, "y", ["x"], "poisson", **k) for k in ({}, {"etastart": "eta"}, {"mustart": "mu"}, {"start": np.zeros(2)})]
+    assert all(np.allclose(m.coefficients, fits[0].coefficients, atol=1e-6) and m.converged for m in fits)
+    # the first iteration is a weighted least squares on the working response at y + 0.1
+    mu = y + 0.1
+    z, a = np.log(mu) + (y - mu) / mu, np.stack([np.ones(300), x], axis=1)
+    first = np.linalg.solve(a.T @ (a * mu[:, None]), a.T @ (mu * z))
+    theta, _ = glm._first_step(glm.complete_cases(t, "y", ["x"]), "poisson", "y", ["x"], None, None, F.log(F.col("y") + 0.1), F.col("y") + 0.1)
+    assert np.allclose(theta, first)
+    with pytest.raises(ArithmeticError):
+        glm.fit_glm(t, "y", ["x"], "poisson", start=np.array([5.0, 3.0]), maxit=1)
+    masked = fits[0].predict(t, "response", mask="mask").toPandas()
+    assert (masked.prediction.isna() == (masked["mask"] != 1)).all()
+    assert "poisson model of y" in str(fits[0]) and fits[0].fitted(t).where("fitted > 0").count() == 300 == fits[0].working_weights(t).where("working_weight > 0").count()
+
+
+def test_glm_validation_carries_weights(spark):
+    rng = np.random.default_rng(8)
+    t = spark.createDataFrame([(i, float(x), float(2 * x + e), float(1 + 5 * (i % 2)), 0.5) for i, (x, e) in enumerate(zip(rng.normal(size=80), rng.normal(size=80)))], "id long, x double, y double, w double, o double")
+    m = glm.fit_glm(t, "y", ["x"], weight="w", offset="o")
+    cost, adjusted = glm.cross_validation(t, m, "id", 3)
+    p = t.select("*", glm.fold_of("id", 3).alias("f")).toPandas()
+    want = 0.0
+    for f in range(3):
+        train, out = p[p.f != f], p[p.f == f]
+        a = np.stack([np.ones(len(train)), train.x], axis=1)
+        b = np.linalg.solve(a.T @ (a * train.w.to_numpy()[:, None]), a.T @ (train.w * (train.y - train.o)).to_numpy())
+        want += ((out.y - b[0] - b[1] * out.x - out.o) ** 2).mean() / 3
+    assert cost == pytest.approx(want) and glm.split_validation(t, m, "id")[0] > 0
+    assert glm.bad_rows(t.unionByName(spark.createDataFrame([(-1, None, 1.0, 1.0, 0.0), (-2, 1.0, float("inf"), 1.0, 0.0), (-3, None, None, 1.0, 0.0)], t.schema)), "y", ["x"]) == {"response": 2, "predictors": 2, "either": 3}
