@@ -325,10 +325,10 @@ def test_viterbi_equals_enumeration():
 def test_windows_without_digit_or_at_have_nothing_to_give(spark):
     """Whole texts with all windows tagged give the same well-formed spans."""
     p = pii.trained()
-    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
     fine = lambda found: [[x for x in xs if pii._well_formed(x[0], t[x[1] : x[2]])] for xs, t in zip(found, texts)]
     some, every = fine(pii.tagged_spans(p, texts)), fine(pii.tagged_spans(p, texts, every=True))
-    assert sum(a == b for a, b in zip(some, every)) >= 0.99 * len(texts) and sum(map(len, every)) > 20
+    assert some == every and sum(map(len, every)) > 50
 
 
 def test_parts_of_a_stretch_decide_together(monkeypatch):
