@@ -156,20 +156,24 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(drops, pa.int64())], ["row", "kept", "n_lines", "n_dropped"])
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, n_batches: int = BATCHES) -> DataFrame:
-    """row (struct of all columns of ``docs``), kept (the text that stays), n_lines, n_dropped.
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, n_batches: int = BATCHES, carry: list[str] | None = None) -> DataFrame:
+    """row (struct of ``carry``, doc_id by default), kept (the text that stays), n_lines, n_dropped.
 
-    Rows get numbers, which are written down with them, so that equal or null ids are nobody's group.
+    Rows get numbers, which are written down with them, so that equal or null ids are nobody's group. A text travels
+    once, and no column that is not carried does.
     """
-    rows = keyed(docs)
-    drops = _dropped(rows.select("rid", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text")), min_chars, min_docs, n_batches)
-    joined = rows.join(drops, F.col("rid") == F.col("drop_rid"), "left").select("row", F.col("row.text").alias("text"), "keys")
+    carry = carry or ["doc_id"]
+    rows = keyed(docs.select(*dict.fromkeys([*carry, "doc_id", "text"])))
+    text = F.col("row.text").alias("text")
+    drops = _dropped(rows.select("rid", F.col("row.doc_id").alias("doc_id"), text), min_chars, min_docs, n_batches)
+    lean = rows.select("rid", F.struct(*[F.col("row")[c].alias(c) for c in carry if c != "text"]).alias("row"), text)
+    joined = lean.join(drops, F.col("rid") == F.col("drop_rid"), "left").select("row", "text", "keys")
     schema = joined.select("row", F.lit("").alias("kept"), F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")).schema
     return joined.mapInArrow(_kept, schema)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` with deduplicated texts; ``n_chars``, where there is one, follows the text."""
-    out = dedup_lines(docs)
+    out = dedup_lines(docs, carry=[c for c in docs.columns if c != "text"])
     new = {"text": F.col("kept"), "n_chars": F.length("kept").cast(dict(docs.dtypes).get("n_chars", "long"))}
     return out.select(*[new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns])
