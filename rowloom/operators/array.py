@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.na import cleaned, guarded
-from .grid import Grid, with_row_id
+from .grid import LIVE, Grid, with_row_id
 
 #: fetch() refuses more cells than this.
 FETCH_CELLS = 50_000_000
@@ -23,6 +23,7 @@ FETCH_CELLS = 50_000_000
 class DistArray:
     def __init__(self, df: DataFrame, grid: Grid, form: str, sparse: bool = False, names: tuple[list | None, list | None] = (None, None), placed: bool = True):
         self.df, self.grid, self.form, self.sparse, self._names, self._placed = df, grid, form, sparse, names, placed
+        LIVE[id(self)] = self
 
     # -- construction ------------------------------------------------------------------------------------------------
 

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.na import cleaned, guarded
-from .grid import Grid, with_row_id
+from ..scratch import materialise
+from .grid import LIVE, Grid, with_row_id
 
 _NUMERIC = ("boolean", "double", "float", "int", "bigint", "smallint", "tinyint")
 
@@ -26,6 +27,9 @@ class DistFrame:
     grid: Grid
     factors: dict[str, DataFrame] = field(default_factory=dict)
 
+    def __post_init__(self):
+        LIVE[id(self)] = self
+
     @classmethod
     def constant(cls, spark: SparkSession, nrow: int, ncol: int, value: float = 0.0, blocks=None, npartitions=None) -> DistFrame:
         names = [f"X{k + 1}" for k in range(ncol)]
@@ -150,7 +154,7 @@ class DistFrame:
     def factored(self, columns: list[str] | None = None) -> DistFrame:
         """Columns as codes; the label table is joined, broadcast or not as its measured size asks."""
         names = [c for c in columns or self.categorical() if c not in self.factors]
-        levels = self.levels(names)
+        levels = materialise(self.levels(names), "levels")  # one pass over the data, however many columns
         df, factors = self.df, dict(self.factors)
         for c in names:
             table = levels.where(F.col("name") == c).select("code", "label")
@@ -165,11 +169,3 @@ class DistFrame:
             table = factors.pop(c)
             df = df.join(table, df[c] == table["code"], "left").drop(c, "code").withColumnRenamed("label", c)
         return replace(self, df=df.select("row_id", *self.names), factors=factors)
-
-
-def is_frame(x) -> bool:
-    return isinstance(x, DistFrame)
-
-
-def numeric(c: Column) -> Column:
-    return cleaned(c)

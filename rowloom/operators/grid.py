@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import weakref
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,8 @@ from pyspark.sql.window import Window
 
 from ..scratch import materialise
 
-MAX_PARTITIONS = 100_000
+#: Arrays and frames in use, by identity: for listings.
+LIVE: weakref.WeakValueDictionary = weakref.WeakValueDictionary()
 
 
 @dataclass(frozen=True)
@@ -25,8 +27,6 @@ class Grid:
             raise ValueError("dimensions must not be negative")
         if self.rb < 1 or self.cb < 1:
             raise ValueError("block sizes must be positive")
-        if self.n > MAX_PARTITIONS:
-            raise ValueError(f"more than {MAX_PARTITIONS} partitions")
 
     @classmethod
     def of(cls, nrow: int, ncol: int, blocks: tuple[int, int] | None = None, npartitions: int | None = None) -> Grid:

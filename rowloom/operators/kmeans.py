@@ -34,6 +34,21 @@ class KMeansModel:
     def predict(self, df: DataFrame) -> DataFrame:
         return apply_centers(df, self.columns, self.centers)
 
+    def fitted(self, df: DataFrame, kind: str = "centers") -> DataFrame:
+        """``df`` with the center of each row's cluster as ``fitted`` (array), or with its number as ``cluster``."""
+        if kind not in ("centers", "classes"):
+            raise ValueError("kind must be centers or classes")
+        said = self.predict(df)
+        if kind == "classes":
+            return said
+        table = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in self.centers])
+        return said.withColumn("fitted", F.get(table, F.col("cluster") - 1)).drop("cluster")
+
+    def __str__(self) -> str:
+        lines = [f"k-means, {len(self.sizes)} clusters of sizes {', '.join(str(int(n)) for n in self.sizes)}"]
+        lines += [f"{k + 1:>4} " + " ".join(f"{v:12.5g}" for v in c) for k, c in enumerate(self.centers)]
+        return "\n".join([*lines, f"within squares {self.tot_withinss:.6g}" + ("" if self.totss is None else f" of {self.totss:.6g}")])
+
     def to_dict(self) -> dict:
         """What is deployed: centers and sizes, no distributed members."""
         return {"kind": "kmeans", "columns": self.columns, "centers": self.centers.tolist(), "sizes": self.sizes.tolist()}

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import json
+import os
 import re
+import sys
 import xml.etree.ElementTree as ET
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators.grid import LIVE
+
 #: Settings of a session that this library starts; those of a running session are left alone.
 DEFAULTS = {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.session.timeZone": "UTC", "spark.sql.execution.arrow.pyspark.enabled": "true"}
 
@@ -32,13 +37,21 @@ def shutdown(spark: SparkSession) -> None:
 
 
 def status(spark: SparkSession) -> DataFrame:
-    """(worker, memory_total, memory_free) of every block manager, in bytes."""
+    """(worker, instances, memory_total, memory_used, memory_free, array_quota, array_used) of every host, in bytes.
+
+    Totals and free memory are those of the block managers, which also hold what is cached: the quota and the use of
+    stored arrays are the same numbers here. Memory of the machines themselves is not known to a session.
+    """
     memory = spark.sparkContext._jsc.sc().getExecutorMemoryStatus()
-    rows, it = [], memory.iterator()
+    hosts: dict[str, list[int]] = {}
+    it = memory.iterator()
     while it.hasNext():
         entry = it.next()
-        rows.append((entry._1(), int(entry._2()._1()), int(entry._2()._2())))
-    return spark.createDataFrame(rows, "worker string, memory_total long, memory_free long")
+        own = hosts.setdefault(entry._1().rsplit(":", 1)[0], [0, 0, 0])
+        for k, x in enumerate((1, int(entry._2()._1()), int(entry._2()._2()))):
+            own[k] += x
+    rows = [(h, n, total, total - free, free, total, total - free) for h, (n, total, free) in sorted(hosts.items())]
+    return spark.createDataFrame(rows, "worker string, instances int, memory_total long, memory_used long, memory_free long, array_quota long, array_used long")
 
 
 def master_info(spark: SparkSession) -> dict[str, str]:
@@ -47,14 +60,33 @@ def master_info(spark: SparkSession) -> dict[str, str]:
 
 
 def list_objects(spark: SparkSession) -> DataFrame:
-    """(name, kind) of tables and views that the session can name."""
-    rows = [(t.name, t.tableType) for t in spark.catalog.listTables()]
-    return spark.createDataFrame(rows, "name string, kind string")
+    """(name, kind, nrow, ncol): tables and views that the session can name, and arrays and frames that are in use."""
+    rows = [(t.name, t.tableType, None, None) for t in spark.catalog.listTables()]
+    rows += [(f"{type(x).__name__}-{k}", "DISTRIBUTED", x.grid.nrow, x.grid.ncol) for k, x in enumerate(list(LIVE.values()))]
+    return spark.createDataFrame(rows, "name string, kind string, nrow long, ncol long")
+
+
+_shipped: dict[str, set[str]] = {}
 
 
 def load_code(spark: SparkSession, path: str) -> None:
     """Ship a Python file or archive to every executor."""
     spark.sparkContext.addPyFile(path)
+    _shipped.setdefault(spark.sparkContext.applicationId, set()).add(os.path.basename(path))
+
+
+def unload_code(spark: SparkSession, path: str) -> None:
+    """Forget shipped code: an archive leaves the import path of later tasks and of the driver, a module leaves the
+    driver. Spark deletes no shipped file before the application ends, so workers that have it may go on using it."""
+    sc, name = spark.sparkContext, os.path.basename(path)
+    if name not in _shipped.get(sc.applicationId, ()):
+        raise LookupError(f"{name} was not loaded")
+    _shipped[sc.applicationId].remove(name)
+    if name in sc._python_includes:
+        sc._python_includes.remove(name)
+    shipped = os.path.join(SparkFiles.getRootDirectory(), name)
+    sys.path[:] = [p for p in sys.path if p != shipped]
+    sys.modules.pop(os.path.splitext(name)[0], None)
 
 
 def configuration(spark: SparkSession, xml: str | None = None) -> DataFrame:

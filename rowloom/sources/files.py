@@ -9,6 +9,8 @@ from ..operators.array import DistArray
 from ..operators.graph import Graph
 from ..operators.grid import Grid
 
+#: Most block files that are named one by one.
+MAX_BLOCK_FILES = 10_000
 #: Type names in CSV schemas and their Spark types.
 TYPES = {"logical": "boolean", "integer": "int", "int64": "bigint", "numeric": "double", "character": "string"}
 
@@ -62,6 +64,28 @@ def load_triplets(spark: SparkSession, path: str, shape: tuple[int, int], blocks
     return DistArray(cells, Grid.of(*shape, blocks), "coo", sparse)
 
 
+def block_array(spark: SparkSession, prefix: str, shape: tuple[int, int], blocks: tuple[int, int], transpose: bool = False) -> DistArray:
+    """Dense block files ``<prefix>0``, ``<prefix>1``, ...: each holds the numbers of one block down its columns.
+
+    A block is what one task holds, so its file is read whole; ``transpose`` turns each block (blocks must be square).
+    """
+    grid = Grid.of(*shape, blocks)
+    if transpose and grid.rb != grid.cb:
+        raise ValueError("only square blocks can be turned")
+    if grid.n > MAX_BLOCK_FILES:
+        raise ValueError(f"more than {MAX_BLOCK_FILES} block files; use one folder of triplets")
+    texts = spark.read.text([f"{prefix}{k}" for k in range(grid.n)], wholetext=True).select((F.regexp_extract(F.input_file_name(), r"(\d+)$", 1).cast("long") + 1).alias("pid"), "value")
+    numbers = F.transform(F.array_remove(F.split("value", r"\s+"), ""), lambda x: x.cast("double"))
+    held = texts.join(grid.sizes(spark), "pid").withColumn("xs", numbers)
+    wrong = held.where((F.size("xs") != F.col("n_rows") * F.col("n_cols")) | F.exists("xs", lambda x: x.isNull()))
+    if held.count() != grid.n or not wrong.isEmpty():
+        raise ValueError("a file is missing or holds other than its block's numbers")
+    cells = held.select("n_rows", "row_offset", "col_offset", F.posexplode("xs").alias("k", "v"))
+    down, across = F.col("k") % F.col("n_rows"), F.floor(F.col("k") / F.col("n_rows"))
+    i, j = (across, down) if transpose else (down, across)
+    return DistArray(cells.select((F.col("row_offset") + i).cast("long").alias("i"), (F.col("col_offset") + j).cast("long").alias("j"), "v"), grid, "coo", False)
+
+
 def edge_lines(spark: SparkSession, path: str) -> DataFrame:
     """(src, dst, w) from lines ``s t [w]``; other lines are skipped. The file is weighted when any edge has a weight;
     in a weighted file a missing weight is 1, in another w is null throughout."""

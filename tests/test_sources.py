@@ -131,6 +131,74 @@ def test_client(spark):
     assert unique_names(["a", "a", "b", "a"]) == ["a", "a.1", "b", "a.2"] and ch.reconnect().query("SELECT 1 AS x").first()[0] == 1
 
 
+def test_client_pages_keys_and_types(spark):
+    ch = Channel(spark)
+    df = spark.createDataFrame([(f"r{k}", k, f"v{k}") for k in range(7)], "id string, n int, v string").coalesce(1)
+    ch.save(df, "client_k", row_names="id", add_pk=True)
+    assert ch.fetch("client_k").columns == ["rownames", "n", "v"] and [tuple(r) for r in ch.primary_keys("client_k").collect()] == [("rownames", 1)]
+    first, second, third, last = ch.start_fetch("client_k", 3, "rownames"), ch.fetch_more(3), ch.fetch_more(3), ch.fetch_more(3)
+    assert [len(x) for x in (first, second, third, last)] == [3, 3, 1, 0] and list(second.index) == ["r3", "r4", "r5"] and list(first.columns) == ["n", "v"]
+    ch.update("client_k", spark.createDataFrame([("r1", 100)], "rownames string, n int"), ["rownames"])
+    assert ch.fetch("client_k").where("n = 100").count() == 1 and not ch.primary_keys("client_k").isEmpty()
+    assert ch.tables("client_k%").count() == 1  # nothing of the replacement stays
+    for bad in (lambda: ch.save(df.unionAll(df), "client_z", row_names="id", add_pk=True), lambda: ch.save(df, "client_z", add_pk=True)):
+        with pytest.raises(ValueError):
+            bad()
+    with pytest.raises(LookupError):
+        ch.start_fetch("client_k", row_names="nope")
+    ch.set_type_info("money", "decimal(12,2)")
+    assert ch.type_info("money") == {"money": "decimal(12,2)"} and "money" not in Channel(spark).type_info()
+    with pytest.raises(Exception):
+        ch.set_type_info("odd", "no_such_type")
+    ch.drop("client_k")
+    assert Channel.close_all() >= 1 and ch.closed and Channel.close_all() == 0
+
+
+def test_a_failed_replacement_keeps_the_table(spark, monkeypatch):
+    ch = Channel(spark)
+    ch.save(spark.range(3).toDF("x"), "client_f")
+    real = ch.spark.sql
+    fail = lambda text, *a, **k: (_ for _ in ()).throw(RuntimeError("lost")) if "_after_" in text and "RENAME" in text else real(text, *a, **k)
+    monkeypatch.setattr(type(ch.spark), "sql", lambda self, text, *a, **k: fail(text, *a, **k))
+    with pytest.raises(RuntimeError):
+        ch.save(spark.range(5).toDF("x"), "client_f", safer=False)
+    monkeypatch.undo()
+    assert ch.fetch("client_f").count() == 3
+    for t in ch.tables("client_f%").collect():
+        ch.drop(t["table_name"])
+
+
+def test_dense_block_files(spark, tmp_path):
+    for k, text in enumerate(["1 2\n5 6", "9 10 13 14", "3 4 7 8", "11\t12\n15 16\n"]):
+        (tmp_path / f"C{k}").write_text(text)
+    x = files.block_array(spark, f"{tmp_path}/C", (4, 4), (2, 2))
+    assert np.array_equal(x.fetch(), np.arange(1, 17).reshape(4, 4).T) and x.sum() == 136
+    turned = files.block_array(spark, f"{tmp_path}/C", (4, 4), (2, 2), transpose=True).fetch()
+    assert np.array_equal(turned[:2, :2], [[1, 2], [5, 6]])
+    (tmp_path / "C3").write_text("1 2 3")
+    with pytest.raises(ValueError):
+        files.block_array(spark, f"{tmp_path}/C", (4, 4), (2, 2))
+
+
+def test_live_objects_and_code(spark, tmp_path):
+    x = DistArray.constant(spark, 12, 3, 1.0)
+    row = session.status(spark).first()
+    assert row["instances"] >= 1 and row["memory_used"] + row["memory_free"] == row["memory_total"]
+    assert session.list_objects(spark).where("kind = 'DISTRIBUTED' AND nrow = 12 AND ncol = 3").count() >= 1 and x.nrow == 12
+    (tmp_path / "shipped_code.py").write_text("VALUE = 5\n")
+    session.load_code(spark, f"{tmp_path}/shipped_code.py")
+    session.unload_code(spark, f"{tmp_path}/shipped_code.py")
+    with pytest.raises(LookupError):
+        session.unload_code(spark, f"{tmp_path}/shipped_code.py")
+
+
+def test_kmeans_fitted(spark):
+    df = spark.createDataFrame([(0.0,), (1.0,), (5.0,), (None,)], "x double")
+    m = fit_kmeans(df, np.array([[0.0], [5.0]]), ["x"])
+    assert [r["fitted"] for r in m.fitted(df).collect()] == [[0.5], [0.5], [5.0], None] and [r["cluster"] for r in m.fitted(df, "classes").collect()] == [1, 1, 2, None]
+    assert "2 clusters of sizes 2, 1" in str(m)
+
+
 def test_session(spark):
     assert session.status(spark).count() >= 1 and session.master_info(spark)["master"].startswith("local") and session.configuration(spark).count() > 0
     xml = "<Cluster><Workers><Worker><Hostname>h1</Hostname><Executors>4</Executors></Worker></Workers></Cluster>"
