@@ -161,6 +161,26 @@ def test_simhash(docs, nothing):
     assert simhash.near_duplicates(nothing).isEmpty()
 
 
+def test_op3_whole_table_against_a_plain_version(spark):
+    """Sizes and CRCs from the texts; the heaviest slot to the lightest shard; positions in the order of slot and id."""
+    got = sorted(queries.op3_virtual_slot_shards(spark, "/root/testdata/sf0.01").collect(), key=lambda r: (r["virtual_slot"], r["doc_id"]))
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()}
+    assert len(got) == len(texts) and all(r["size"] == len(texts[r["doc_id"]]) + 1 and r["text_crc32"] == zlib.crc32(texts[r["doc_id"]]) for r in got)
+    loads = {}
+    for r in got:
+        loads[r["virtual_slot"]] = loads.get(r["virtual_slot"], 0) + r["size"]
+    held, home = [0] * 8, {}
+    for slot in sorted(loads, key=lambda s: (-loads[s], s)):
+        home[slot] = held.index(min(held))
+        held[home[slot]] += loads[slot]
+    at = [0] * 8
+    for r in got:
+        shard = home[r["virtual_slot"]]
+        assert (r["shard"], r["slot"], r["grown_shard"], r["law"]) == (shard, at[shard], None, "bytes")
+        at[shard] += 1
+    assert max(held) <= 1.01 * min(held)
+
+
 def test_one_row_of_each(spark, docs, nothing):
     kept = simhash.one_row_of_each(docs)
     assert kept.columns == docs.columns and simhash.one_row_of_each(nothing).isEmpty()
@@ -325,10 +345,10 @@ def test_viterbi_equals_enumeration():
 def test_windows_without_digit_or_at_have_nothing_to_give(spark):
     """Whole texts with all windows tagged give the same well-formed spans."""
     p = pii.trained()
-    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
     fine = lambda found: [[x for x in xs if pii._well_formed(x[0], t[x[1] : x[2]])] for xs, t in zip(found, texts)]
     some, every = fine(pii.tagged_spans(p, texts)), fine(pii.tagged_spans(p, texts, every=True))
-    assert some == every and sum(map(len, every)) > 50
+    assert some == every and sum(map(len, every)) > 10
 
 
 def test_parts_of_a_stretch_decide_together(monkeypatch):
