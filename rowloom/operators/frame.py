@@ -9,7 +9,6 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.na import cleaned, guarded
 from ..scratch import materialise
@@ -149,7 +148,9 @@ class DistFrame:
         plain = self.unfactored([c for c in names if c in self.factors]).df if self.factors else self.df
         pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("label")) for c in names])
         found = plain.select(F.inline(pairs)).where("label IS NOT NULL").distinct()
-        return found.select("name", F.row_number().over(Window.partitionBy("name").orderBy("label")).alias("code"), "label")
+        placed = with_row_id(found, ["name", "label"], "__at")  # a range sort: no column's labels meet in one task
+        first = F.broadcast(placed.groupBy("name").agg(F.min("__at").alias("__first")))  # one row a column
+        return placed.join(first, "name").select("name", (F.col("__at") - F.col("__first") + 1).cast("int").alias("code"), "label")
 
     def factored(self, columns: list[str] | None = None) -> DistFrame:
         """Columns as codes; the label table is joined, broadcast or not as its measured size asks."""
