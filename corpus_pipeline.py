@@ -14,7 +14,7 @@ from rowloom.llm.linededup import deduplicated
 from rowloom.llm.pieces import encode_documents
 from rowloom.llm.rules import keep_good
 from rowloom.llm.simhash import one_row_of_each
-from rowloom.scratch import materialise
+from rowloom.scratch import materialise, only_kept, release
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stage wrote on its way goes when its rows are written, and those go when the next stage's are."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        kept: list[DataFrame] = []
+        with only_kept(kept):
+            kept.append(materialise(stage(spark, docs, sf_dir), name))
+        release(docs)
+        docs = kept[0]
     return STAGES[-1][1](spark, docs, sf_dir)

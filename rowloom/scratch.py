@@ -5,12 +5,14 @@ from __future__ import annotations
 import atexit
 import shutil
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 _LOCAL = "/tmp/checkpoints/rowloom"
 _local_folders: set[str] = set()
+_scopes: list[list[DataFrame]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -42,9 +44,25 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._rowloom_path = path
+    for scope in _scopes:
+        scope.append(out)
     return out
 
 
+@contextmanager
+def only_kept(kept: list[DataFrame]):
+    """Release at the end all tables that were written inside, but those that have been added to ``kept``."""
+    written: list[DataFrame] = []
+    _scopes.append(written)
+    try:
+        yield
+    finally:
+        _scopes.pop()
+        for df in written:
+            if not any(df is k for k in kept):
+                release(df)
+
+
 def release(df: DataFrame) -> None:
     """Delete what ``materialise`` wrote for ``df``; nothing lazy may still read it."""
     path = getattr(df, "_rowloom_path", None)
